@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import blank_to_null, regex, squash
@@ -49,21 +49,26 @@ def _first(html: Column, pattern: str, groups: int = 1) -> Column:
 
 
 def meta(html: Column, *names: str) -> Column:
-    """Content of the first meta tag present, by property and then by name."""
+    """Content of the first meta tag present, by property and then by name.
+
+    The value ends at the quote it began with, so it may hold the other one.
+    """
     found = [
-        _first(html, rf"<meta[^>]+{attr}=[\"']{name}[\"'][^>]+content=(?:\"([^\"]+)\"|'([^']+)')", 2)
+        blank_to_null(
+            F.regexp_extract(
+                html, regex(rf"<meta[^>]+{attr}=[\"']{name}[\"'][^>]+content=(\"[^\"]+\"|'[^']+')"), 1
+            )
+        )
         for name in names
         for attr in ("property", "name")
     ]
-    return decode_entities(F.coalesce(*found))
+    return F.regexp_replace(F.coalesce(*found), "^.|.$", "")
 
 
-def meta_record(html: Column) -> dict[str, Column]:
-    return {
-        "title": meta(html, "og:title", "twitter:title"),
-        "description": meta(html, "og:description", "description", "twitter:description"),
-        "image": meta(html, "og:image", "twitter:image"),
-    }
+# Tags that hold a page's title, description and picture.
+META_TITLE = ("og:title", "twitter:title")
+META_DESCRIPTION = ("og:description", "description", "twitter:description")
+META_IMAGE = ("og:image", "twitter:image")
 
 
 def page_title(html: Column) -> Column:
@@ -82,40 +87,36 @@ _LEAF = f"struct<`@type`: string, {_FIELDS.replace(' string', ': string')}>"
 _NODE = _LEAF[:-1] + f", `@graph`: array<{_LEAF}>>"
 
 
-def jsonld_product(html: Column) -> Column:
-    """Struct of the first JSON-LD Product of a page, top level before ``@graph``.
+def with_jsonld(df: DataFrame, html: str, out: str = "ld") -> DataFrame:
+    """Adds the struct of the first JSON-LD Product: top level before ``@graph``.
 
     Nested values are read as raw JSON text, so a field may be a string, an array
-    or an object; broken blocks are skipped.
+    or an object; broken blocks are skipped. Every step is a projection of its
+    own, so a page is parsed once although many fields are read from it.
     """
-    blocks = F.regexp_extract_all(html, F.lit(regex(JSONLD_BLOCK)), F.lit(1))
-
-    def nodes(block: Column) -> Column:
-        top = F.coalesce(F.from_json(F.trim(block), f"array<{_NODE}>"), F.array().cast(f"array<{_NODE}>"))
-        leaves = F.transform(top, lambda n: n.dropFields("`@graph`"))
-        inner = F.flatten(
-            F.transform(top, lambda n: F.coalesce(n["@graph"], F.array().cast(f"array<{_LEAF}>")))
-        )
-        return F.concat(leaves, inner)
-
-    every = F.flatten(F.transform(blocks, nodes))
-    product = F.get(
-        F.filter(every, lambda n: n["@type"].rlike(r'^(?:Product$|\[.*"Product")')), F.lit(0)
-    )
-    image = product["image"]
+    blocks = F.regexp_extract_all(F.col(html), F.lit(regex(JSONLD_BLOCK)), F.lit(1))
+    none, no_leaf = F.array().cast(f"array<{_NODE}>"), F.array().cast(f"array<{_LEAF}>")
+    tops = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.from_json(F.trim(b), f"array<{_NODE}>"), none)))
+    leaves = F.transform(F.col("_tops"), lambda n: n.dropFields("`@graph`"))
+    inner = F.flatten(F.transform(F.col("_tops"), lambda n: F.coalesce(n["@graph"], no_leaf)))
+    is_product = lambda n: n["@type"].rlike(r'^(?:Product$|\[.*"Product")')
+    product = F.get(F.filter(F.concat(leaves, inner), is_product), F.lit(0))
+    image = F.col("_product.image")
     first_image = F.when(image.startswith("["), F.get_json_object(image, "$[0]")).otherwise(image)
-    url = F.when(first_image.startswith("{"), F.get_json_object(first_image, "$.url")).otherwise(
-        first_image
+    url = F.when(F.col("_image").startswith("{"), F.get_json_object("_image", "$.url")).otherwise(F.col("_image"))
+    fields = F.struct(
+        blank_to_null(F.col("_product.name")).alias("name"),
+        blank_to_null(F.col("_product.description")).alias("description"),
+        blank_to_null(url).alias("image"),
+        F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("sku", "mpn")]).alias("sku"),
+        F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("gtin13", "gtin12", "gtin")]).alias("gtin"),
     )
-    return F.when(
-        product.isNotNull(),
-        F.struct(
-            blank_to_null(product["name"]).alias("name"),
-            blank_to_null(product["description"]).alias("description"),
-            blank_to_null(url).alias("image"),
-            F.coalesce(blank_to_null(product["sku"]), blank_to_null(product["mpn"])).alias("sku"),
-            F.coalesce(*[blank_to_null(product[g]) for g in ("gtin13", "gtin12", "gtin")]).alias("gtin"),
-        ),
+    return (
+        df.withColumn("_tops", tops)
+        .withColumn("_product", product)
+        .withColumn("_image", first_image)
+        .withColumn(out, F.when(F.col("_product").isNotNull(), fields))
+        .drop("_tops", "_product", "_image")
     )
 
 
@@ -183,30 +184,25 @@ SUBTITLE_LENGTH = (15, 250)
 SUBTITLE_SENTENCES = 3
 
 
-def longest_block(html: Column, patterns=BLOCK_PATTERNS, min_len: int = MIN_BLOCK) -> Column:
-    """Longest container text of at least ``min_len``; the earlier one on a tie."""
-    blocks = []
-    for i, pattern in enumerate(patterns):
-        text = to_text(F.regexp_extract(html, regex(pattern), 1))
-        blocks.append(
-            F.when(
-                F.length(text) >= min_len,
-                F.struct(F.length(text).alias("n"), F.lit(-i).alias("rank"), text.alias("text")),
-            )
-        )
-    return F.array_max(F.array_compact(F.array(*blocks)))["text"]
+def with_longest_block(df: DataFrame, html: str, out: str = "block", patterns=BLOCK_PATTERNS, min_len: int = MIN_BLOCK) -> DataFrame:
+    """Adds the longest container text of at least ``min_len``; the earlier one
+    on a tie, NULL if there is none."""
+    texts = F.array(*[to_text(F.regexp_extract(F.col(html), regex(p), 1)) for p in patterns])
+    sized = F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("rank"), t.alias("text")))
+    best = F.array_max("_sized")
+    return df.withColumn("_sized", sized).withColumn(out, F.when(best["n"] >= min_len, best["text"])).drop("_sized")
 
 
 def subtitle(html: Column, patterns=SUBTITLE_PATTERNS) -> Column:
     """First subtitle that is neither too short, too long nor too many sentences."""
-    picks = []
-    for pattern in patterns:
-        text = squash(decode_entities(F.regexp_replace(F.regexp_extract(html, regex(pattern), 1), TAG, "")))
-        good = F.length(text).between(*SUBTITLE_LENGTH) & (
-            F.size(F.split(text, r"[.!?]\s+")) <= SUBTITLE_SENTENCES
-        )
-        picks.append(F.when(good, text))
-    return F.coalesce(*picks)
+    texts = F.array(
+        *[squash(decode_entities(F.regexp_replace(F.regexp_extract(html, regex(p), 1), TAG, ""))) for p in patterns]
+    )
+    fits = F.filter(
+        texts,
+        lambda t: F.length(t).between(*SUBTITLE_LENGTH) & (F.size(F.split(t, r"[.!?]\s+")) <= SUBTITLE_SENTENCES),
+    )
+    return F.get(fits, F.lit(0))
 
 
 # Marks of challenge walls, consent layers and region pickers.

@@ -297,9 +297,13 @@ def _pair_score(w: Weights) -> Column:
     def both(i: int) -> Column:
         return (F.get("ms", F.lit(i)) != "") & (F.get("r_ms", F.lit(i)) != "")
 
+    def shared(right: str) -> Column:
+        # tokens are distinct; one hash set less to build than an intersection
+        return F.size("tokens") - F.size(F.array_except("tokens", right))
+
     return (
-        F.size(F.array_intersect("tokens", "strong")) * w.strong
-        + F.size(F.array_intersect("tokens", "weak")) * w.weak
+        shared("strong") * w.strong
+        + shared("weak") * w.weak
         + _measure_score(w, lambda i: both(i) & same(i), both)
         + _promo_score(w, F.col("promo"), F.col("r_promo"))
     )
@@ -327,7 +331,7 @@ def _parts(stats: DataFrame, count: str) -> DataFrame:
 
 def _attach(postings: DataFrame, stats: DataFrame, small: bool, spread: str, count: str) -> DataFrame:
     """Adds ``hot`` to postings and drops those whose feature one side lacks."""
-    flags = stats.select("f", "hot")
+    flags = stats.select("f", "hot", "rn")
     if small:
         return postings.join(F.broadcast(flags), "f")
     return keyed_lookup(postings, flags, "f", spread, "inner", hot=_parts(stats, count))
@@ -346,11 +350,13 @@ def _extend(sets: str, singles: str) -> Column:
     )
 
 
-def _cold_pairs(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights) -> DataFrame:
-    left = lpost.where("not hot").select("f", "ls", *_unpacked_left())
+def _cold_pairs(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int) -> DataFrame:
+    """Full scores of all pairs that share one of the given cold features."""
+    left = lpost.select("f", "ls", *_unpacked_left())
     right = rpost.where("not hot").select("f", "ords", *_unpacked_right())
-    joined = keyed_lookup(left, right, "f", "ls", "inner", hot=_parts(stats.where("not hot"), "ln"))
-    return joined.select("ls", F.explode("ords").alias("ord"), _pair_score(w).alias("score"))
+    joined = keyed_lookup(left, right, "f", "ls", "inner", hot=_parts(stats.where("not hot"), "ln"), multiplies=True)
+    ord_ = F.get("ords", F.lit(0)) if n == 1 else F.explode("ords")
+    return joined.select("ls", ord_.alias("ord"), _pair_score(w).alias("score"))
 
 
 def _representatives(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int) -> DataFrame:
@@ -379,6 +385,50 @@ def _representatives(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: We
     return joined.select("ls", F.explode("ords").alias("ord"), score.alias("score"))
 
 
+def _feature_weight(w: Weights) -> Column:
+    """The most a single feature can add to a score."""
+    by_tag = F.when(F.col("f").startswith("t:"), w.strong).when(F.col("f").startswith("w:"), w.weak)
+    for i, m in enumerate(w.measures):
+        by_tag = by_tag.when(F.col("f").startswith(f"m{i}:"), m.equal)
+    return by_tag
+
+
+def _rarest_first(
+    lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int, floor: float | None
+) -> tuple[DataFrame, DataFrame]:
+    """Match on every left row's rarest cold feature alone, then keep only the
+    postings that can still matter.
+
+    A right row that lacks the rarest feature scores at most the other features
+    plus the promo bonus. If that is below the n-th best score found already (or
+    below ``floor``) the left row is settled. Ties are not settled, the earlier
+    right row may be among the rest.
+    """
+    weighed = lpost.withColumn("weight", _feature_weight(w))
+    bonus = F.when(_part("ls", 2) == "true", F.lit(max(0.0, w.promo_both))).otherwise(F.lit(0.0))
+    reach = (
+        weighed.groupBy("ls")
+        .agg(
+            F.sum("weight").alias("total"),
+            F.min(F.when(~F.col("hot"), F.struct("rn", (-F.col("weight")).alias("less"), "f"))).alias("rarest"),
+        )
+        .select("ls", (F.col("total") + bonus).alias("reach"), F.col("rarest.f").alias("pick"), (-F.col("rarest.less")).alias("pick_weight"))
+    )
+    if floor is not None:
+        reach = reach.where(F.col("reach") >= floor)
+    reach = stage(reach, "reach")
+    picked = reach.where("pick is not null").select("ls", F.col("pick").alias("f"))
+    first = stage(_best(_cold_pairs(picked, rpost, stats, w, n), "ls", n), "rarest-best")
+    bound = first.where(F.col("rank") == n).select("ls", F.col("score").alias("bound"))
+    open_rows = (
+        reach.join(bound, "ls", "left")
+        .where(F.col("bound").isNull() | (F.col("reach") - F.coalesce("pick_weight", F.lit(0.0)) >= F.col("bound")))
+        .select("ls", "pick")
+    )
+    rest = lpost.join(open_rows, "ls").where(F.col("pick").isNull() | (F.col("f") != F.col("pick"))).drop("pick")
+    return first.select("ls", "ord", "score"), rest
+
+
 def _class_pairs(lsig: DataFrame, rsig: DataFrame, w: Weights, n: int) -> DataFrame:
     """The empty set: pairs that share nothing.
 
@@ -439,12 +489,15 @@ def match_features(
         small = is_small(stats)
         lpost = _attach(lexp, stats, small, "ls", "ln")
         rpost = _attach(rexp, stats, small, "rs", "rn")
-        found = _cold_pairs(lpost, rpost, stats, w)
-        pairs = found if pairs is None else pairs.unionByName(found)
+        if level == 1:
+            pairs, lpost = _rarest_first(lpost, rpost, stats, w, n, floor)
+        pairs = pairs.unionByName(_cold_pairs(lpost.where("not hot"), rpost, stats, w, n))
         if stats.where("hot").isEmpty():
             break
         pairs = pairs.unionByName(_representatives(lpost, rpost, stats, w, n))
         lrows = stage(_next_level(lpost, ["ls"], level), f"left-sets-{level + 1}")
+        if lrows.isEmpty():
+            break
         rrows = stage(_next_level(rpost, ["rs", "ords"], level), f"right-sets-{level + 1}")
         level += 1
 

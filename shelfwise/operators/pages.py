@@ -16,21 +16,29 @@ from shelfwise.plans.skew import BROADCAST_ROWS, RANK_WIDTH, running_rank
 def page_records(pages: DataFrame, sites: str, max_len: int = 700, html: str = "html", url: str = "url") -> DataFrame:
     """One product record per page: JSON-LD first, meta tags as fallback."""
     body = F.col(html)
-    read = (
-        pages.withColumn("_ld", H.jsonld_product(body))
-        .withColumn("_meta", F.struct(*[c.alias(n) for n, c in H.meta_record(body).items()]))
-        .withColumn("_skus", H.sku_candidates(body))
+    sku_list = H.sku_candidates(body)
+    read = H.with_jsonld(pages, html, "_ld")
+    name = F.coalesce(F.col("_ld.name"), H.decode_entities(H.meta(body, *H.META_TITLE)))
+    text = F.coalesce(F.col("_ld.description"), H.decode_entities(H.meta(body, *H.META_DESCRIPTION)), F.lit(""))
+    image = F.coalesce(F.col("_ld.image"), H.decode_entities(H.meta(body, *H.META_IMAGE)))
+    # one projection per step: what a later step reads more than once is computed once
+    read = read.select(
+        *[c for c in pages.columns if c != html],
+        "_ld",
+        H.strip_site_suffix(name, sites).alias("_name"),
+        H.to_line(text).alias("_text"),
+        image.alias("image"),
+        sku_list.alias("all_skus"),
     )
-    text = F.coalesce(F.col("_ld.description"), F.col("_meta.description"), F.lit(""))
     return read.select(
         *[c for c in pages.columns if c != html],
         U.section(F.col(url)).alias("section"),
-        F.coalesce(H.strip_site_suffix(F.coalesce("_ld.name", "_meta.title"), sites), F.lit("")).alias("name"),
-        cut_at_word(H.to_line(text), max_len).alias("description"),
-        F.coalesce("_ld.image", "_meta.image").alias("image"),
-        F.coalesce(F.col("_ld.sku"), F.get("_skus", F.lit(0))).alias("sku"),
+        F.coalesce("_name", F.lit("")).alias("name"),
+        cut_at_word(F.col("_text"), max_len).alias("description"),
+        "image",
+        F.coalesce(F.col("_ld.sku"), F.get("all_skus", F.lit(0))).alias("sku"),
         F.col("_ld.gtin").alias("gtin"),
-        F.col("_skus").alias("all_skus"),
+        "all_skus",
     )
 
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources.io import spread_scan
+
 
 @dataclass(frozen=True)
 class Derived:
@@ -49,6 +51,9 @@ PRODUCT_COLUMNS = {
 
 FIXTURES: dict[str, Derived] = {
     "products": Derived("part", PRODUCT_COLUMNS),
+    "page_products": Derived(
+        "part", {**PRODUCT_COLUMNS, "p_name": "p_name", "p_type": "p_type", "p_size": "p_size"}
+    ),
     "titles": Derived(
         "part",
         {
@@ -249,13 +254,14 @@ SQUASH_SPARK = r"trim(regexp_replace(text, '\\s+', ' '))"
 SQUASH_CHECK = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if heavy else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     d = FIXTURES[name]
-    df = read(spark, sf_dir, d.source)
+    df = read(spark, sf_dir, d.source, heavy)
     if d.source == "documents":
         df = df.withColumn("squashed", F.expr(SQUASH_SPARK))
     if d.where:

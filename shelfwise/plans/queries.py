@@ -69,7 +69,7 @@ def export_delimited(spark, sf):
 
 
 def _verdicts(spark, sf):
-    return Q.with_verdict(table(spark, sf, "texts"), "body")
+    return Q.with_verdict(table(spark, sf, "texts", heavy=True), "body")
 
 
 @query
@@ -166,18 +166,18 @@ URL_OPTIONS = U.ProductUrlOptions(rejected=(*U.REJECTED, "blog"), accepted=("en"
 
 @query
 def product_url_census(spark, sf):
-    return P.url_census(read(spark, sf, "pages"), URL_OPTIONS)
+    return P.url_census(read(spark, sf, "pages", heavy=True), URL_OPTIONS)
 
 
 @query
 def host_allowlist(spark, sf):
     hosts = ["ththin.example.com", "therin.example.net", "cheap-pills.example.com", "spam-farm.example.org"]
-    return P.host_in(read(spark, sf, "pages"), hosts).select("page_id", U.host(F.col("url")).alias("host"))
+    return P.host_in(read(spark, sf, "pages", heavy=True), hosts).select("page_id", U.host(F.col("url")).alias("host"))
 
 
 @query
 def page_audit(spark, sf):
-    return P.page_audit(read(spark, sf, "pages")).drop("url")
+    return P.page_audit(read(spark, sf, "pages", heavy=True)).drop("url")
 
 
 @query
@@ -277,8 +277,8 @@ def worklist(spark, sf):
 
 @query
 def fuzzy_match_size(spark, sf):
-    site = table(spark, sf, "site_list")
-    best = M.fuzzy_match(table(spark, sf, "supplier_list"), site, M.BY_SIZE)
+    site = table(spark, sf, "site_list", heavy=True)
+    best = M.fuzzy_match(table(spark, sf, "supplier_list", heavy=True), site, M.BY_SIZE)
     return M.with_right(best, site, ["name", "url"]).select(
         F.col("lid").alias("ordinal"), F.col("ord").alias("site_ordinal"), "site_name", "site_url", "score",
         M.band(F.col("score"), M.BY_SIZE).alias("band"),
@@ -287,20 +287,20 @@ def fuzzy_match_size(spark, sf):
 
 @query
 def fuzzy_match_dose(spark, sf):
-    best = M.fuzzy_match(table(spark, sf, "supplier_doses"), table(spark, sf, "site_doses"), M.BY_DOSE)
+    best = M.fuzzy_match(table(spark, sf, "supplier_doses", heavy=True), table(spark, sf, "site_doses", heavy=True), M.BY_DOSE)
     return best.select(F.col("lid").alias("ordinal"), F.col("ord").alias("site_ordinal"), "score")
 
 
 @query
 def slug_match(spark, sf):
-    best = M.slug_match(table(spark, sf, "products"), table(spark, sf, "site_urls"), "raw_name", "line")
+    best = M.slug_match(table(spark, sf, "products", heavy=True), table(spark, sf, "site_urls", heavy=True), "raw_name", "line")
     return best.select(F.col("lid").alias("ordinal"), F.col("ord").alias("url_ordinal"), "score")
 
 
 @query
 def slug_match_translit(spark, sf):
     best = M.slug_match(
-        table(spark, sf, "greek_products"), table(spark, sf, "site_urls"), "name", "line", transliterate=True, expand=False
+        table(spark, sf, "greek_products", heavy=True), table(spark, sf, "site_urls", heavy=True), "name", "line", transliterate=True, expand=False
     )
     return best.select(F.col("lid").alias("ordinal"), F.col("ord").alias("url_ordinal"), "score")
 
@@ -308,7 +308,7 @@ def slug_match_translit(spark, sf):
 @query
 def two_stage_refine(spark, sf):
     return M.two_stage(
-        table(spark, sf, "products").select("ordinal", "barcode", "line"), table(spark, sf, "hits"), table(spark, sf, "site_urls")
+        table(spark, sf, "products").select("ordinal", "barcode", "line"), table(spark, sf, "hits"), table(spark, sf, "site_urls", heavy=True)
     )
 
 
@@ -358,7 +358,7 @@ def brand_stats(spark, sf):
 
 @query
 def match_bands(spark, sf):
-    best = M.fuzzy_match(table(spark, sf, "supplier_list"), table(spark, sf, "site_list"), M.BY_SIZE, floor=None)
+    best = M.fuzzy_match(table(spark, sf, "supplier_list", heavy=True), table(spark, sf, "site_list", heavy=True), M.BY_SIZE, floor=None)
     return best.groupBy(M.band(F.col("score"), M.BY_SIZE).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -367,13 +367,13 @@ def match_bands(spark, sf):
 
 @query
 def best_candidate(spark, sf):
-    best = M.fuzzy_match(table(spark, sf, "supplier_list"), table(spark, sf, "site_list"), M.BY_SIZE, floor=None)
+    best = M.fuzzy_match(table(spark, sf, "supplier_list", heavy=True), table(spark, sf, "site_list", heavy=True), M.BY_SIZE, floor=None)
     return best.select(F.col("lid").alias("ordinal"), F.col("ord").alias("site_ordinal"), "score")
 
 
 @query
 def top3_candidates(spark, sf):
-    best = M.fuzzy_match(table(spark, sf, "supplier_list"), table(spark, sf, "site_list"), M.BY_SIZE, n=3, floor=None)
+    best = M.fuzzy_match(table(spark, sf, "supplier_list", heavy=True), table(spark, sf, "site_list", heavy=True), M.BY_SIZE, n=3, floor=None)
     return best.select(F.col("lid").alias("ordinal"), "rank", F.col("ord").alias("site_ordinal"), "score")
 
 
@@ -392,20 +392,20 @@ def related_fill(spark, sf):
 def pick_by_source(spark, sf):
     ranks = [("src3", 0), ("src1", 1), ("src7", 2), ("src12", 3)]
     usable = F.length(F.coalesce("body", F.lit(""))) >= 100
-    best = Q.pick_by_source(table(spark, sf, "texts"), ranks, "product", "host", "doc_id", usable)
+    best = Q.pick_by_source(table(spark, sf, "texts", heavy=True), ranks, "product", "host", "doc_id", usable)
     return best.select("product", "doc_id", "host", "host_rank")
 
 
 @query
 def pick_by_quality(spark, sf):
-    return Q.pick_by_quality(table(spark, sf, "texts"), "product", "body", "doc_id").select(
+    return Q.pick_by_quality(table(spark, sf, "texts", heavy=True), "product", "body", "doc_id").select(
         "product", "doc_id", F.round("score", 2).alias("score")
     )
 
 
 @query
 def rank_urls(spark, sf):
-    pages = read(spark, sf, "pages").select("page_id", U.section(F.col("url")).alias("section"), "url")
+    pages = read(spark, sf, "pages", heavy=True).select("page_id", U.section(F.col("url")).alias("section"), "url")
     return P.rank_urls(pages, F.col("url").contains(".net"), "section", "page_id")
 
 
@@ -460,7 +460,7 @@ def catalog_overlap(spark, sf):
 
 
 def _attributes(spark, sf):
-    df = table(spark, sf, "titles")
+    df = table(spark, sf, "titles", heavy=True)
     return df.select("ordinal", "brand", "line", *[c.alias(n) for n, c in attributes(F.col("title")).items()])
 
 
@@ -488,12 +488,12 @@ def normalize_names(spark, sf):
 
 @query
 def expand_abbrev(spark, sf):
-    df = table(spark, sf, "codes")
+    df = table(spark, sf, "codes", heavy=True)
     return df.select("ordinal", X.prepend_if_absent(F.col("line"), X.expand_name(F.col("raw"))).alias("expanded"))
 
 
 def _slugs(spark, sf):
-    return table(spark, sf, "titles").select("ordinal", X.slug(F.col("title"), 30).alias("slug"))
+    return table(spark, sf, "titles", heavy=True).select("ordinal", X.slug(F.col("title"), 30).alias("slug"))
 
 
 @query
@@ -520,7 +520,7 @@ def template_text(spark, sf):
 
 @query
 def token_df(spark, sf):
-    return M.token_frequencies(table(spark, sf, "supplier_list"), "name", M.BY_SIZE.stop_words)
+    return M.token_frequencies(table(spark, sf, "supplier_list", heavy=True), "name", M.BY_SIZE.stop_words)
 
 
 @query
@@ -540,9 +540,7 @@ def quality_audit(spark, sf):
 
 def product_pages(spark, sf):
     """HTML pages written from the product rows, with every shape a site uses."""
-    p = table(spark, sf, "products").join(
-        read(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), "p_name", "p_type", "p_size"), "ordinal"
-    )
+    p = table(spark, sf, "page_products", heavy=True)
     k = F.col("ordinal")
     code = F.lpad(k.cast("string"), 13, "0")
     picture = F.concat(F.lit("https://img.example/"), code, F.lit(".jpg"))
@@ -587,7 +585,7 @@ def page_records(spark, sf):
 
 @query
 def jsonld_products(spark, sf):
-    df = product_pages(spark, sf).select("ordinal", H.jsonld_product(F.col("html")).alias("ld")).where("ld is not null")
+    df = H.with_jsonld(product_pages(spark, sf), "html").where("ld is not null")
     return df.select("ordinal", *[F.col(f"ld.{c}").alias(c) for c in ("name", "image", "sku", "gtin")])
 
 
@@ -598,7 +596,7 @@ def sku_candidates(spark, sf):
 
 @query
 def longest_block(spark, sf):
-    return product_pages(spark, sf).select("ordinal", F.coalesce(H.longest_block(F.col("html")), F.lit("")).alias("block"))
+    return H.with_longest_block(product_pages(spark, sf), "html").select("ordinal", F.coalesce("block", F.lit("")).alias("block"))
 
 
 @query
@@ -608,17 +606,17 @@ def extraction_coverage(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return P.page_links(read(spark, sf, "pages"), "page_id").select("page_id", "host", "link", "is_paged", "verdict")
+    return P.page_links(read(spark, sf, "pages", heavy=True), "page_id").select("page_id", "host", "link", "is_paged", "verdict")
 
 
 @query
 def html_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", H.to_text(F.col("html")).alias("text"))
+    return read(spark, sf, "pages", heavy=True).select("page_id", H.to_text(F.col("html")).alias("text"))
 
 
 @query
 def url_keys(spark, sf):
-    keys = P.url_keys(read(spark, sf, "pages"))
+    keys = P.url_keys(read(spark, sf, "pages", heavy=True))
     return keys.groupBy("host", "section").agg(F.count(F.lit(1)).alias("n"), F.count("code").alias("with_code"))
 
 

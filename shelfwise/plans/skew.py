@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,6 +22,10 @@ BROADCAST_ROWS = 100_000
 NULL_SALTS = 4_096
 
 
+def work_partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Counted check, at most ``max_rows + 1`` rows are read to answer it."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -49,12 +53,15 @@ def keyed_lookup(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
+    multiplies: bool = False,
 ) -> DataFrame:
-    """Join ``base`` to a ``lookup`` that has one row per key.
+    """Join ``base`` to a ``lookup`` that has one row, or a bounded few, per key.
 
     Hot keys of ``base`` are cut into parts by a hash of the ``spread`` columns
     (a row id, so a retried task salts the same way) and the matching lookup
     rows are repeated once per part. Rows with a NULL key are spread as well.
+    A join that ``multiplies`` rows keeps its full number of partitions: adaptive
+    execution would size them by the small input and not by the work.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     spread = [spread] if isinstance(spread, str) else list(spread)
@@ -78,6 +85,10 @@ def keyed_lookup(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
+    if multiplies:
+        parts = work_partitions(base.sparkSession)
+        salted = salted.repartition(parts, *keys, "_salt")
+        copies = copies.repartition(parts, *keys, "_salt")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -30,6 +30,14 @@ def read_catalog(spark: SparkSession, path: str, schema: T.StructType = PRODUCT_
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """For a plain scan ahead of heavy per-row work: a table that has fewer
+    splits than the session has cores is spread over all of them. A table of
+    any size has more splits than that and is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def explode_map(df: DataFrame, col: str, key: str = "barcode", value: str = "value", value_type: str = "string") -> DataFrame:
     """JSON objects keyed by code to rows; keys that start with ``_`` are comments."""
     parsed = F.from_json(F.col(col), f"map<string,{value_type}>")

@@ -60,7 +60,7 @@ def main(argv):
     from __spark_entry__ import oracle_sql, queries
 
     spark = build_session(
-        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g"
+        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(argv[0]), 0
