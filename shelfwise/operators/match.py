@@ -1,28 +1,6 @@
-"""Best-match joins by token score.
-
-A pair scores ``strong`` for each left token among the right row's name tokens,
-else ``weak`` if it is among its URL tokens, plus bonuses and penalties for
-measures (size, dose, count) and promo packs. Every left row wants its best
-right row(s), earlier right rows first on a tie.
-
-Scoring all pairs is out of the question, and so is joining on a token that a
-third of the rows share. The work is cut without losing a pair:
-
-* Copies collapse: rows with equal tokens, measures and promo flag score alike,
-  so only distinct signatures are matched, with the first n right ordinals.
-* Features are the tokens and measures that occur on both sides. A feature is
-  cold if at most ``hot_rows`` right signatures have it, else hot. Pairs that
-  share a cold feature come from a join on it, whose fan-out is bounded, and get
-  their full score.
-* Hot features are combined to sets of two, the hot sets to sets of three and so
-  on, until no set is hot. A cold set is joined like a cold feature.
-* A pair whose shared features form a hot set scores by that set and its class
-  (promo flag, which measures are present) alone. All right rows of the set and
-  class tie, so its first n ordinals stand for them. For a pair that shares more
-  this is a lower bound, and its full score comes from a larger set or a cold
-  join; the maximum over all levels is therefore exact.
-* The empty set stands for pairs that share nothing; it is used only if such a
-  score can be asked for.
+"""Matching names to site rows and products to page URLs.
+
+The rows are turned into features here; the join itself is ``score_join``.
 """
 
 from __future__ import annotations
@@ -42,30 +20,8 @@ from shelfwise.functions.text import (
     tokens,
     words,
 )
-from shelfwise.plans.skew import HOT_KEYS, HOT_ROWS, is_small, keyed_lookup, stage, top_n
-
-#: A feature set with more right signatures than this is hot.
-HOT_FEATURE_ROWS = 1_000
-#: Rows of one feature that go to one sub-key of a salted join.
-POSTINGS_PER_PART = 50_000
-
-
-@dataclass(frozen=True)
-class Measure:
-    name: str
-    pattern: str
-    equal: float
-    unequal: float = 0.0
-
-
-@dataclass(frozen=True)
-class Weights:
-    strong: float = 2.0
-    weak: float = 0.5
-    measures: tuple[Measure, ...] = ()
-    promo_only_right: float = 0.0
-    promo_both: float = 0.0
-
+from shelfwise.operators.score_join import HOT_FEATURE_ROWS, Measure, Weights, score_join
+from shelfwise.plans.skew import keyed_lookup, stage
 
 # Units, stop words and scores of the two name matchers.
 UNITS = "ml|gr|g|kg|l|iu|mg|caps|tabs|tablets|patch|φακελ|x\\d+|shots|τσιπς|amp|amps"
@@ -154,381 +110,6 @@ def right_features(df: DataFrame, ordinal: str, name: str, url: str, section: st
     )
 
 
-# --- the engine -------------------------------------------------------------
-
-_SEP, _GAP, _BAR, _BAR_RE = "\t", " ", "|", r"\|"
-
-
-def _pack(*parts: Column) -> Column:
-    return F.concat_ws(_SEP, *parts)
-
-
-def _joined(col: str, sep: str = _GAP) -> Column:
-    return F.array_join(F.array_sort(F.col(col)), sep)
-
-
-def _part(col: str, i: int) -> Column:
-    return F.get(F.split(F.col(col), _SEP), F.lit(i))
-
-
-def _items(col: Column, sep: str = _GAP) -> Column:
-    return F.filter(F.split(col, sep), lambda t: t != "")
-
-
-def _tagged(tag: str, col: str) -> Column:
-    return F.transform(F.col(col), lambda t: F.concat(F.lit(tag), t))
-
-
-def _measure_features(w: Weights, ms: str = "ms") -> Column:
-    """``m0:50ml`` for every measure present whose equality earns a bonus."""
-    found = [
-        F.when(F.get(ms, F.lit(i)) != "", F.concat(F.lit(f"m{i}:"), F.get(ms, F.lit(i))))
-        for i, m in enumerate(w.measures)
-        if m.equal > 0
-    ]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-
-
-def _presence(ms: Column) -> Column:
-    """``10`` = the first of two measures is present."""
-    return F.array_join(F.transform(ms, lambda v: F.when(v != "", F.lit("1")).otherwise(F.lit("0"))), "")
-
-
-def _measure_score(w: Weights, equal, both) -> Column:
-    """Sum over measures; ``equal(i)`` and ``both(i)`` are boolean columns."""
-    total = F.lit(0.0)
-    for i, m in enumerate(w.measures):
-        total = total + F.when(equal(i), F.lit(m.equal)).when(both(i), F.lit(m.unequal)).otherwise(F.lit(0.0))
-    return total
-
-
-def _promo_score(w: Weights, left: Column, right: Column) -> Column:
-    return (
-        F.when(right & left, F.lit(w.promo_both))
-        .when(right, F.lit(w.promo_only_right))
-        .otherwise(F.lit(0.0))
-    )
-
-
-def _left_signatures(left: DataFrame, w: Weights) -> tuple[DataFrame, DataFrame]:
-    """(row id -> signature, signatures with their features and copy count)."""
-    rows = left.select(
-        "lid",
-        _pack(_joined("tokens"), F.array_join("ms", _BAR), F.col("promo").cast("string")).alias("ls"),
-    )
-    sigs = (
-        rows.groupBy("ls")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .select("ls", "copies", *_unpacked_left())
-        .select("ls", "copies", F.concat(_tagged("t:", "tokens"), _tagged("w:", "tokens"), _measure_features(w)).alias("features"))
-    )
-    return rows, sigs
-
-
-def _unpacked_left() -> list[Column]:
-    return [
-        _items(_part("ls", 0)).alias("tokens"),
-        F.split(_part("ls", 1), _BAR_RE).alias("ms"),
-        (_part("ls", 2) == "true").alias("promo"),
-    ]
-
-
-def _unpacked_right() -> list[Column]:
-    return [
-        _items(_part("rs", 0)).alias("strong"),
-        _items(_part("rs", 1)).alias("weak"),
-        F.split(_part("rs", 2), _BAR_RE).alias("r_ms"),
-        (_part("rs", 3) == "true").alias("r_promo"),
-    ]
-
-
-def _smallest(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` smallest ``ord`` per key as an array, limited before the shuffle."""
-    if n == 1:
-        return df.groupBy(*keys).agg(F.array(F.min("ord")).alias("ords"))
-    return top_n(df, keys, [F.col("ord")], n).groupBy(*keys).agg(F.array_sort(F.collect_list("ord")).alias("ords"))
-
-
-def _right_signatures(right: DataFrame, w: Weights, n: int) -> DataFrame:
-    packed = right.select(
-        "ord",
-        _pack(_joined("strong"), _joined("weak"), F.array_join("ms", _BAR), F.col("promo").cast("string")).alias("rs"),
-    )
-    return (
-        _smallest(packed, ["rs"], n)
-        .select("rs", "ords", *_unpacked_right())
-        .select("rs", "ords", F.concat(_tagged("t:", "strong"), _tagged("w:", "weak"), _measure_features(w, "r_ms")).alias("features"))
-    )
-
-
-def _best(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """Best ``n`` of (key, ord, score); a pair may occur with several lower bounds.
-
-    For n = 1 both steps keep only fixed-width buffers, so they hash-aggregate
-    and combine before each shuffle.
-    """
-    if n == 1:
-        return (
-            pairs.groupBy(key, "score")
-            .agg(F.min("ord").alias("ord"))
-            .groupBy(key)
-            .agg(F.max_by("ord", "score").alias("ord"), F.max("score").alias("score"))
-            .withColumn("rank", F.lit(1))
-        )
-    exact = pairs.groupBy(key, "ord").agg(F.max("score").alias("score"))
-    return top_n(exact, [key], [F.desc("score"), F.col("ord")], n, "rank")
-
-
-def _class_score(w: Weights, equal, promo: Column, present: Column, r_promo: Column, r_present: Column) -> Column:
-    """Measure and promo part of a score, from classes and the equal measures."""
-
-    def both(i: int) -> Column:
-        return (F.substring(present, i + 1, 1) == "1") & (F.substring(r_present, i + 1, 1) == "1")
-
-    return _measure_score(w, equal, both) + _promo_score(w, promo, r_promo)
-
-
-def _pair_score(w: Weights) -> Column:
-    """Full score of a joined pair."""
-
-    def same(i: int) -> Column:
-        return F.get("ms", F.lit(i)) == F.get("r_ms", F.lit(i))
-
-    def both(i: int) -> Column:
-        return (F.get("ms", F.lit(i)) != "") & (F.get("r_ms", F.lit(i)) != "")
-
-    def shared(right: str) -> Column:
-        # tokens are distinct; one hash set less to build than an intersection
-        return F.size("tokens") - F.size(F.array_except("tokens", right))
-
-    return (
-        shared("strong") * w.strong
-        + shared("weak") * w.weak
-        + _measure_score(w, lambda i: both(i) & same(i), both)
-        + _promo_score(w, F.col("promo"), F.col("r_promo"))
-    )
-
-
-def _set_score(w: Weights, key: str) -> tuple[Column, list[Column]]:
-    """Token score of a feature set, and which measures it holds."""
-    feats = F.split(F.col(key), _GAP)
-
-    def count(tag: str) -> Column:
-        return F.size(F.filter(feats, lambda t: t.startswith(tag)))
-
-    return count("t:") * w.strong + count("w:") * w.weak, [count(f"m{i}:") > 0 for i in range(len(w.measures))]
-
-
-def _parts(stats: DataFrame, count: str) -> DataFrame:
-    """Salting list of a side, from counts that are known anyway."""
-    return (
-        stats.where(F.col(count) > POSTINGS_PER_PART)
-        .orderBy(F.desc(count), "f")
-        .limit(HOT_KEYS)
-        .select("f", F.ceil(F.col(count) / POSTINGS_PER_PART).cast("int").alias("_parts"))
-    )
-
-
-def _attach(postings: DataFrame, stats: DataFrame, small: bool, spread: str, count: str) -> DataFrame:
-    """Adds ``hot`` to postings and drops those whose feature one side lacks."""
-    flags = stats.select("f", "hot", "rn")
-    if small:
-        return postings.join(F.broadcast(flags), "f")
-    return keyed_lookup(postings, flags, "f", spread, "inner", hot=_parts(stats, count))
-
-
-def _extend(sets: str, singles: str) -> Column:
-    """Every set with one more feature, each set written in sorted order once."""
-    return F.flatten(
-        F.transform(
-            F.col(sets),
-            lambda s: F.transform(
-                F.filter(F.col(singles), lambda f: f > F.substring_index(s, _GAP, -1)),
-                lambda f: F.concat_ws(_GAP, s, f),
-            ),
-        )
-    )
-
-
-def _cold_pairs(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int) -> DataFrame:
-    """Full scores of all pairs that share one of the given cold features."""
-    left = lpost.select("f", "ls", *_unpacked_left())
-    right = rpost.where("not hot").select("f", "ords", *_unpacked_right())
-    joined = keyed_lookup(left, right, "f", "ls", "inner", hot=_parts(stats.where("not hot"), "ln"), multiplies=True)
-    ord_ = F.get("ords", F.lit(0)) if n == 1 else F.explode("ords")
-    return joined.select("ls", ord_.alias("ord"), _pair_score(w).alias("score"))
-
-
-def _representatives(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int) -> DataFrame:
-    """First right ordinals per hot set and class, offered to every left row."""
-    reps = _smallest(
-        rpost.where("hot").select(
-            "f",
-            _presence(F.split(_part("rs", 2), _BAR_RE)).alias("r_present"),
-            (_part("rs", 3) == "true").alias("r_promo"),
-            F.explode("ords").alias("ord"),
-        ),
-        ["f", "r_present", "r_promo"],
-        n,
-    )
-    base, equal = _set_score(w, "f")
-    reps = reps.withColumn("base", base)
-    for i, e in enumerate(equal):
-        reps = reps.withColumn(f"eq{i}", e)
-    left = lpost.where("hot").select(
-        "f", "ls", _presence(F.split(_part("ls", 1), _BAR_RE)).alias("present"), (_part("ls", 2) == "true").alias("promo")
-    )
-    joined = keyed_lookup(left, reps, "f", "ls", "inner", hot=_parts(stats.where("hot"), "ln"))
-    score = F.col("base") + _class_score(
-        w, lambda i: F.col(f"eq{i}"), F.col("promo"), F.col("present"), F.col("r_promo"), F.col("r_present")
-    )
-    return joined.select("ls", F.explode("ords").alias("ord"), score.alias("score"))
-
-
-def _feature_weight(w: Weights) -> Column:
-    """The most a single feature can add to a score."""
-    by_tag = F.when(F.col("f").startswith("t:"), w.strong).when(F.col("f").startswith("w:"), w.weak)
-    for i, m in enumerate(w.measures):
-        by_tag = by_tag.when(F.col("f").startswith(f"m{i}:"), m.equal)
-    return by_tag
-
-
-def _rarest_first(
-    lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int, floor: float | None
-) -> tuple[DataFrame, DataFrame]:
-    """Match on every left row's rarest cold feature alone, then keep only the
-    postings that can still matter.
-
-    A right row that lacks the rarest feature scores at most the other features
-    plus the promo bonus. If that is below the n-th best score found already (or
-    below ``floor``) the left row is settled. Ties are not settled, the earlier
-    right row may be among the rest.
-    """
-    weighed = lpost.withColumn("weight", _feature_weight(w))
-    bonus = F.when(_part("ls", 2) == "true", F.lit(max(0.0, w.promo_both))).otherwise(F.lit(0.0))
-    reach = (
-        weighed.groupBy("ls")
-        .agg(
-            F.sum("weight").alias("total"),
-            F.min(F.when(~F.col("hot"), F.struct("rn", (-F.col("weight")).alias("less"), "f"))).alias("rarest"),
-        )
-        .select("ls", (F.col("total") + bonus).alias("reach"), F.col("rarest.f").alias("pick"), (-F.col("rarest.less")).alias("pick_weight"))
-    )
-    if floor is not None:
-        reach = reach.where(F.col("reach") >= floor)
-    reach = stage(reach, "reach")
-    picked = reach.where("pick is not null").select("ls", F.col("pick").alias("f"))
-    first = stage(_best(_cold_pairs(picked, rpost, stats, w, n), "ls", n), "rarest-best")
-    bound = first.where(F.col("rank") == n).select("ls", F.col("score").alias("bound"))
-    open_rows = (
-        reach.join(bound, "ls", "left")
-        .where(F.col("bound").isNull() | (F.col("reach") - F.coalesce("pick_weight", F.lit(0.0)) >= F.col("bound")))
-        .select("ls", "pick")
-    )
-    rest = lpost.join(open_rows, "ls").where(F.col("pick").isNull() | (F.col("f") != F.col("pick"))).drop("pick")
-    return first.select("ls", "ord", "score"), rest
-
-
-def _class_pairs(lsig: DataFrame, rsig: DataFrame, w: Weights, n: int) -> DataFrame:
-    """The empty set: pairs that share nothing.
-
-    There are 2 x 2^measures classes on each side, so both tables are tiny by
-    construction, whatever the number of rows.
-    """
-    one = F.lit(0).alias("one")
-    classed = lsig.select("ls", _presence(F.split(_part("ls", 1), _BAR_RE)).alias("present"), (_part("ls", 2) == "true").alias("promo"))
-    rc = _smallest(
-        rsig.select(
-            _presence(F.split(_part("rs", 2), _BAR_RE)).alias("r_present"),
-            (_part("rs", 3) == "true").alias("r_promo"),
-            F.explode("ords").alias("ord"),
-        ),
-        ["r_present", "r_promo"],
-        n,
-    )
-    score = _class_score(
-        w, lambda i: F.lit(False), F.col("promo"), F.col("present"), F.col("r_promo"), F.col("r_present")
-    )
-    table = (
-        classed.select("present", "promo").distinct().select("*", one)
-        .join(rc.select("*", one), "one")
-        .select("present", "promo", F.explode("ords").alias("ord"), score.alias("score"))
-    )
-    return classed.join(F.broadcast(table), ["present", "promo"]).select("ls", "ord", "score")
-
-
-def match_features(
-    left: DataFrame,
-    right: DataFrame,
-    w: Weights,
-    n: int = 1,
-    floor: float | None = None,
-    hot_rows: int = HOT_FEATURE_ROWS,
-) -> DataFrame:
-    """(lid, ord, score, rank): the best ``n`` right rows per left row.
-
-    ``left``: lid, tokens, ms, promo. ``right``: ord (unique), strong, weak (not
-    in strong), ms, promo. With ``floor`` only scores of at least that are kept.
-    """
-    rows, lsig = _left_signatures(left, w)
-    lsig = stage(lsig, "left-signatures")
-    rsig = stage(_right_signatures(right, w, n), "right-signatures")
-
-    lrows = lsig.select("ls", F.col("features").alias("sets"), F.lit(None).cast("array<string>").alias("singles"))
-    rrows = rsig.select("rs", "ords", F.col("features").alias("sets"), F.lit(None).cast("array<string>").alias("singles"))
-    level, pairs = 1, None
-    while True:
-        lexp = lrows.select("ls", "singles", F.explode("sets").alias("f"))
-        rexp = rrows.select("rs", "ords", "singles", F.explode("sets").alias("f"))
-        stats = (
-            lexp.groupBy("f").agg(F.count(F.lit(1)).alias("ln"))
-            .join(rexp.groupBy("f").agg(F.count(F.lit(1)).alias("rn")), "f")
-            .withColumn("hot", F.col("rn") > hot_rows)
-        )
-        stats = stage(stats, f"features-{level}")
-        small = is_small(stats)
-        lpost = _attach(lexp, stats, small, "ls", "ln")
-        rpost = _attach(rexp, stats, small, "rs", "rn")
-        if level == 1:
-            pairs, lpost = _rarest_first(lpost, rpost, stats, w, n, floor)
-        pairs = pairs.unionByName(_cold_pairs(lpost.where("not hot"), rpost, stats, w, n))
-        if stats.where("hot").isEmpty():
-            break
-        pairs = pairs.unionByName(_representatives(lpost, rpost, stats, w, n))
-        lrows = stage(_next_level(lpost, ["ls"], level), f"left-sets-{level + 1}")
-        if lrows.isEmpty():
-            break
-        rrows = stage(_next_level(rpost, ["rs", "ords"], level), f"right-sets-{level + 1}")
-        level += 1
-
-    nothing_shared = max(0.0, w.promo_both) + sum(max(0.0, m.unequal) for m in w.measures)
-    if floor is None or floor <= nothing_shared:
-        pairs = pairs.unionByName(_class_pairs(lsig, rsig, w, n))
-    best = _best(pairs, "ls", n)
-    if floor is not None:
-        best = best.where(F.col("score") >= floor)
-    copies = (
-        lsig.where(F.col("copies") > HOT_ROWS)
-        .orderBy(F.desc("copies"))
-        .limit(HOT_KEYS)
-        .select("ls", F.ceil(F.col("copies") / HOT_ROWS).cast("int").alias("_parts"))
-    )
-    return keyed_lookup(rows, best, "ls", "lid", "inner", hot=copies).select("lid", "ord", "score", "rank")
-
-
-def _next_level(postings: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
-    """Rows with their hot sets, extended by one feature; rows without are done."""
-    hot = postings.where("hot").groupBy(*keys).agg(
-        F.array_sort(F.collect_list("f")).alias("sets"), F.first("singles").alias("singles")
-    )
-    if level == 1:
-        hot = hot.withColumn("singles", F.col("sets"))
-    return hot.withColumn("sets", _extend("sets", "singles")).where(F.size("sets") > 0)
-
-
-# --- operators --------------------------------------------------------------
-
-
 def fuzzy_match(
     left: DataFrame,
     right: DataFrame,
@@ -541,7 +122,7 @@ def fuzzy_match(
     """Supplier rows to site rows by name. ``floor=None`` keeps any best score;
     by default the configured minimum applies."""
     floor = cfg.min_score if floor == -1.0 else floor
-    return match_features(
+    return score_join(
         left_features(left, *left_cols, cfg),
         right_features(right, *right_cols, cfg),
         cfg.weights,
@@ -563,7 +144,7 @@ def band(score: Column, cfg: MatchConfig) -> Column:
 def with_right(matches: DataFrame, right: DataFrame, fields: Sequence[str], ordinal: str = "ordinal") -> DataFrame:
     """Fields of the matched right row; a much-matched row is spread."""
     looked = right.select(F.col(ordinal).alias("ord"), *[F.col(f).alias(f"site_{f}") for f in fields])
-    return keyed_lookup(matches, looked, "ord", "lid", "left")
+    return keyed_lookup(stage(matches, "matches"), looked, "ord", "lid", "left")
 
 
 def slug_match(
@@ -602,7 +183,7 @@ def slug_match(
     right = urls_df.select(
         F.col(url_order).alias("ord"), strong.alias("strong"), weak.alias("weak"), none.alias("ms"), F.lit(False).alias("promo")
     )
-    return match_features(left, right, Weights(), n, min_score, hot_rows)
+    return score_join(left, right, Weights(), n, min_score, hot_rows)
 
 
 def two_stage(
@@ -619,7 +200,7 @@ def two_stage(
     ``hits``: one row per key with name and url.
     """
     hit = hits.select(key, F.col("name").alias("canonical"), F.col("url").alias("hit_url"))
-    found = keyed_lookup(products.where(F.col(key) != ""), hit, key, ordinal, "inner")
+    found = stage(keyed_lookup(products.where(F.col(key) != ""), hit, key, ordinal, "inner"), "hits")
     pages = with_right(
         slug_match(found, urls_df, "canonical", line, transliterate=True, expand=False, id_col=ordinal),
         urls_df,

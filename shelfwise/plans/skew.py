@@ -23,7 +23,9 @@ NULL_SALTS = 4_096
 
 
 def work_partitions(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """Partitions for a join that costs far more than its input suggests; a few
+    per core, so that uneven keys even out."""
+    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
