@@ -55,7 +55,8 @@ def coverage(records: DataFrame, section: str = "section") -> DataFrame:
 
 
 def page_links(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """Distinct same-host links per page; made distinct inside the row, no shuffle."""
+    """Distinct same-host links per page; made distinct inside the row, no shuffle.
+    Links that carry a fragment are jumps inside a page and are not taken."""
     found = F.transform(H.hrefs(F.col(html)), lambda h: U.resolve(H.decode_entities(h), F.col(url)))
     link = F.explode(F.array_distinct(F.filter(found, lambda u: u.isNotNull())))
     rows = pages.select(key, U.host(F.col(url)).alias("host"), link.alias("link"))

@@ -265,20 +265,17 @@ def _representatives(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: We
 
 
 def _class_pairs(lsig: DataFrame, rsig: DataFrame, w: Weights, n: int) -> DataFrame:
-    """The empty set: pairs that share nothing.
-
-    There are 2 x 2^measures classes on each side, so both tables are tiny by
-    construction, whatever the number of rows.
-    """
-    one = F.lit(0).alias("one")
-    classed = lsig.select("sig", *_class_of())
+    """Step 6. There are 2 x 2^measures right classes, known in advance, so the
+    broadcast table has that many rows at most, whatever the number of rows."""
+    classes = [
+        F.struct(F.lit(format(bits, f"0{len(w.measures)}b") if w.measures else "").alias("r_present"), F.lit(promo).alias("r_promo"))
+        for bits in range(2 ** len(w.measures))
+        for promo in (False, True)
+    ]
     reps = _smallest(rsig.select(*_class_of("r_"), F.explode("ords").alias("ord")), ["r_present", "r_promo"], n)
-    table = (
-        classed.select("present", "promo").distinct().select("*", one)
-        .join(reps.select("*", one), "one")
-        .select("present", "promo", F.explode("ords").alias("ord"), _class_score(w, lambda i: F.lit(False)).alias("score"))
-    )
-    return classed.join(F.broadcast(table), ["present", "promo"]).select("sig", "ord", "score")
+    offered = lsig.select("sig", *_class_of(), F.inline(F.array(*classes)))
+    joined = offered.join(F.broadcast(reps), ["r_present", "r_promo"])
+    return joined.select("sig", F.explode("ords").alias("ord"), _class_score(w, lambda i: F.lit(False)).alias("score"))
 
 
 # --- steps ------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.plans.skew import hot_keys, keyed_lookup, top_n
+from shelfwise.plans.skew import hot_keys, is_small, keyed_lookup, top_n
 
 
 def blob(cols: Sequence[str]) -> Column:
@@ -89,6 +89,8 @@ def ranked_join(ranked: DataFrame, products: DataFrame, codes: str, key: str, or
     """Products of a ranked code list; unknown codes leave a gap in the ranks."""
     positions = ranked.select(F.posexplode(codes).alias("_pos", key)).withColumn("rank", F.col("_pos") + 1).drop("_pos")
     wanted = positions.select(key).distinct()
+    if is_small(wanted):
+        wanted = F.broadcast(wanted)
     firsts = top_n(products.join(wanted, key, "left_semi"), [key], [F.col(ordinal)])
     return positions.join(firsts.select(key, ordinal, *fields), key)
 

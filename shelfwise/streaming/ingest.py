@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from shelfwise.plans.skew import top_n
+from shelfwise.plans.skew import is_small, top_n
 
 
 def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
@@ -36,12 +36,17 @@ def ingest(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = top_n(batch, [key], [F.col(order)])
-        known = _stored(spark, store, batch_id)
+        fresh = top_n(batch, [key], [F.col(order)]).persist()
+        known = _stored(batch.sparkSession, store, batch_id)
+        new = fresh
         if known is not None:
-            fresh = fresh.join(known.select(key), key, "left_anti")
-        extract(fresh).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+            keys = known.select(key)
+            if is_small(fresh):
+                # scan the store's keys in place instead of shuffling all of them
+                keys = keys.join(F.broadcast(fresh.select(key)), key, "left_semi")
+            new = fresh.join(keys, key, "left_anti")
+        extract(new).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        fresh.unpersist()
 
     query = (
         source.writeStream.foreachBatch(merge)
