@@ -200,4 +200,4 @@ def cut_at_word(col: Column, max_len: int) -> Column:
 
 
 def count_chars(col: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(col, f"[^{char_class}]", ""))
+    return F.length(F.regexp_replace(col, f"[^{char_class}]+", ""))

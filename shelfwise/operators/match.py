@@ -21,7 +21,7 @@ from shelfwise.functions.text import (
     words,
 )
 from shelfwise.operators.score_join import HOT_FEATURE_ROWS, Measure, Weights, score_join
-from shelfwise.plans.skew import keyed_lookup, stage
+from shelfwise.plans.skew import keyed_lookup, stage, top_n
 
 # Units, stop words and scores of the two name matchers.
 UNITS = "ml|gr|g|kg|l|iu|mg|caps|tabs|tablets|patch|φακελ|x\\d+|shots|τσιπς|amp|amps"
@@ -218,6 +218,15 @@ def two_stage(
     )
 
 
+def best_per_key(pairs: DataFrame, key: str, score: str = "score", ordinal: str = "ord") -> DataFrame:
+    """Best candidate of an explicit pair table; ties go to the earlier row."""
+    return top_n(pairs, [key], [F.desc(score), F.col(ordinal)])
+
+
+def top_n_per_key(pairs: DataFrame, key: str, n: int, score: str = "score", ordinal: str = "ord") -> DataFrame:
+    return top_n(pairs, [key], [F.desc(score), F.col(ordinal)], n, "rank")
+
+
 def token_frequencies(df: DataFrame, name: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """Rows per token, counted per task before the shuffle."""
     return (

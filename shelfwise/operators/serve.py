@@ -65,6 +65,11 @@ def search_counts(df: DataFrame, cols: Sequence[str], term: str, k1: str, k2: st
     return facet_tree(df.where(hits(cols, term)), k1, k2)
 
 
+def status_counts(df: DataFrame, status: Column, name: str = "status") -> DataFrame:
+    """Rows per outcome of a run or check."""
+    return df.groupBy(status.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def brand_stats(df: DataFrame, brand: str, line: str) -> DataFrame:
     """Rows and distinct lines; counted per (brand, line) first, so the brand
     level only sees one row per line."""

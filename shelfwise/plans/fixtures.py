@@ -75,6 +75,7 @@ FIXTURES: dict[str, Derived] = {
             "description": "text",
             "image": f"case when p_partkey % 4 = 0 then '' else 'img/' || {KEY} || '.jpg' end",
             "section": "case when p_partkey % 7 = 0 then cast(null as string) else p_type end",
+            "source": "'site'",
             "review": "p_partkey % 6 = 0",
         },
         where="p_type in ('ECONOMY', 'PROMO', 'LARGE')",
@@ -88,6 +89,7 @@ FIXTURES: dict[str, Derived] = {
             "description": "'Alternative text ' || cast(p_partkey as string)",
             "image": f"case when p_partkey % 3 = 0 then '' else 'alt/' || {KEY} || '.jpg' end",
             "section": "p_type",
+            "source": "'shop'",
         },
         where="p_size <= 25",
     ),
@@ -242,7 +244,7 @@ FIXTURES: dict[str, Derived] = {
         {
             "ordinal": "p_partkey",
             "line": "p_type",
-            "raw": "case p_partkey % 6 when 0 then 'PT MIC WAT ' when 1 then 'M.89 SPR ' when 2 then 'CICA cr ' "
+            "raw": "case p_partkey % 6 when 0 then 'PT SOOT WAT ' when 1 then 'M.89 SPR ' when 2 then 'CICA cr ' "
             "when 3 then 'EFF M-UP INV ' when 4 then 'anti-tr DEO ' else 'LFT HOM ' || p_type || ' ' end || upper(p_name) "
             f"|| ' F' || {SIZE} || 'ML FR EN gr'",
         },

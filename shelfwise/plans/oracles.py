@@ -41,7 +41,7 @@ FROM products
 """
 
 # description verdict, shared by several checks
-FILLER = r"(Δωρε[άα]ν μεταφορικ[άα]|σε αγορ[έε]ς [άα]νω των|Online\s+Pharmacy)"
+FILLER = r"(σε προσφορά στο\s+Pharm24|Ofarmakopoiosmou|Δωρε[άα]ν μεταφορικ[άα]|σε αγορ[έε]ς [άα]νω των|Online\s+Pharmacy)"
 
 
 def verdict(source: str, key: str, text: str) -> dict[str, str]:
@@ -75,6 +75,7 @@ LAYERS = """
   SELECT p.*, nullif(o.name, '') AS n1, nullif(s.name, '') AS n2, nullif(o.description, '') AS d1,
     nullif(s.description, '') AS d2, nullif(o.image, '') AS i1, nullif(s.image, '') AS i2,
     nullif(o.section, '') AS s1, nullif(s.section, '') AS s2, o.review,
+    o.source AS src1, s.source AS src2,
     o.barcode AS k1, s.barcode AS k2
   FROM products p
   LEFT JOIN override_layer o ON o.barcode = p.barcode AND p.barcode <> ''
@@ -87,7 +88,7 @@ SELECT ordinal,
      regexp_extract_all(upper(name), '[A-Z]{{2,}}|[^A-Z]+|[A-Z]'),
      lambda r: CASE WHEN regexp_matches(r, '^[A-Z]{{2,}}$') THEN r[1] || lower(r[2:]) ELSE r END), '') END AS display_name,
   CASE WHEN price > 0 THEN cast(price AS varchar) ELSE '' END AS price,
-  coalesce(d1, d2, 'Product of The ' || brand || ' — ' || name) AS description,
+  coalesce(d1, d2, 'Product of The ' || brand || ' — ' || upper(name)) AS description,
   'The ' || brand AS brand_label,
   CASE WHEN line = 'ECONOMY' THEN line ELSE upper(line[1]) || lower(line[2:]) END AS line_label,
   CASE WHEN alt_code = barcode THEN '' ELSE alt_code END AS variants,
@@ -530,7 +531,7 @@ SELECT token, count(*) AS df FROM (SELECT unnest({token_list('name', SIZE_STOP_W
 """
 ORACLES["quality_flags"] = TEXTS + "SELECT doc_id, why = '' AS ok, why AS reasons FROM verdicts"
 ORACLES["quality_audit"] = REVIEW + """
-SELECT ordinal, coalesce(n1, n2, name) AS name, why AS reasons, length(coalesce(dd, '')) AS length
+SELECT ordinal, coalesce(n1, n2, name) AS name, coalesce(src1, src2, '(none)') AS source, why AS reasons, length(coalesce(dd, '')) AS length
 FROM verdicts WHERE contains(why, 'too-short')
 """
 

@@ -13,6 +13,7 @@ from shelfwise.functions import text as X
 from shelfwise.functions import urls as U
 from shelfwise.functions.attributes import attributes, describe
 from shelfwise.functions.quality import reasons
+from shelfwise.operators import display as D
 from shelfwise.operators import layers as L
 from shelfwise.operators import match as M
 from shelfwise.operators import pages as P
@@ -99,20 +100,10 @@ def _layers(spark, sf):
 
 @query
 def display_table(spark, sf):
-    df = L.cascade_fields(table(spark, sf, "products"), _layers(spark, sf), FIELDS)
-    df = L.with_dim(df, _brand_dim(spark, sf), "brand", "brand_label", F.col("brand"))
-    df = L.with_dim(df, _line_dim(spark, sf), "line", "line_label", F.col("line"))
+    products = with_variants(table(spark, sf, "products")).withColumn("name", F.upper("name"))
+    dims = {"brand": _brand_dim(spark, sf), "line": _line_dim(spark, sf)}
     fallback = F.concat(F.lit("Product of "), F.col("brand_label"), F.lit(" — "), F.col("name"))
-    return df.select(
-        "ordinal",
-        X.decap_name(F.coalesce("layer_name", F.upper("name")), "Shelf").alias("display_name"),
-        F.when(F.col("price") > 0, F.col("price").cast("string")).otherwise("").alias("price"),
-        F.coalesce("layer_description", fallback).alias("description"),
-        "brand_label",
-        "line_label",
-        F.array_join(F.array_except(F.array("alt_code"), F.array("barcode")), ", ").alias("variants"),
-        F.coalesce("layer_image", F.lit("")).alias("image"),
-    )
+    return D.display_table(products, _layers(spark, sf), dims, "Shelf", fallback)
 
 
 @query
@@ -359,7 +350,7 @@ def brand_stats(spark, sf):
 @query
 def match_bands(spark, sf):
     best = M.fuzzy_match(table(spark, sf, "supplier_list", heavy=True), table(spark, sf, "site_list", heavy=True), M.BY_SIZE, floor=None)
-    return best.groupBy(M.band(F.col("score"), M.BY_SIZE).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return S.status_counts(best, M.band(F.col("score"), M.BY_SIZE), "band")
 
 
 # --- windows, top-k ---------------------------------------------------------
@@ -530,9 +521,12 @@ def quality_flags(spark, sf):
 
 @query
 def quality_audit(spark, sf):
-    df = L.cascade_fields(table(spark, sf, "products"), _layers(spark, sf), ["name", "description"])
+    df = L.cascade_fields(table(spark, sf, "products"), _layers(spark, sf), ["name", "description", "source"])
     flagged = Q.audit(Q.with_verdict(df, "layer_description"), "layer_description", "too-short")
-    return flagged.select("ordinal", F.coalesce("layer_name", "name").alias("name"), F.array_join("reasons", "|").alias("reasons"), "length")
+    return flagged.select(
+        "ordinal", F.coalesce("layer_name", "name").alias("name"), F.coalesce("layer_source", F.lit("(none)")).alias("source"),
+        F.array_join("reasons", "|").alias("reasons"), "length"
+    )
 
 
 # --- page jobs --------------------------------------------------------------

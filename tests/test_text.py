@@ -47,19 +47,20 @@ def test_labels(spark):
 
 
 def test_clean_name_keeps_short_words_that_are_no_locale(spark):
-    assert one(spark, "PT MIC WAT f200ML FR EN gr", X.clean_name) == "PT Mic Wat f200ml"
+    assert one(spark, "RICH HAND BALM 75ML EN gr", X.clean_name) == "Rich Hand Balm 75ml"
+    assert one(spark, "UVA BALM ds24 FR", X.clean_name) == "UVA Balm DS24"
     assert one(spark, "CREAM FOR YOU", X.clean_name) == "Cream For You"
 
 
 def test_decap_name(spark):
-    assert one(spark, "CRILEN  plus Aloe", lambda c: X.decap_name(c, "Shelf")) == "Shelf Crilen plus Aloe"
+    assert one(spark, "ALOE  plus Honey", lambda c: X.decap_name(c, "Shelf")) == "Shelf Aloe plus Honey"
     assert one(spark, "SHELF ALOE", lambda c: X.decap_name(c, "Shelf")) == "Shelf Aloe"
     assert one(spark, "SHELFX", lambda c: X.decap_name(c, "Shelf")) == "Shelf Shelfx"
     assert one(spark, "", lambda c: X.decap_name(c, "Shelf")) == ""
 
 
 def test_expand_name_and_lookahead(spark):
-    assert one(spark, "PT MIC WAT SENS F200ML FR EN gr", X.expand_name) == "Purete Thermale Micellar Water Sensitive 200ML"
+    assert one(spark, "SH LOT cr T150ML EN gr", X.expand_name) == "Shampoo Lotion Cream 150ML"
     assert one(spark, "MAT MATCH", X.expand_name) == "Mat MATCH"
 
 
