@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import blank_to_null, regex, squash
+from shelfwise.plans.skew import compute_once
 
 # Named entities; the ampersand is decoded last.
 ENTITIES = (
@@ -111,9 +112,9 @@ def with_jsonld(df: DataFrame, html: str, out: str = "ld") -> DataFrame:
         F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("sku", "mpn")]).alias("sku"),
         F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("gtin13", "gtin12", "gtin")]).alias("gtin"),
     )
+    parsed = compute_once(df, _tops=tops)
     return (
-        df.withColumn("_tops", tops)
-        .withColumn("_product", product)
+        compute_once(parsed, _product=product)
         .withColumn("_image", first_image)
         .withColumn(out, F.when(F.col("_product").isNotNull(), fields))
         .drop("_tops", "_product", "_image")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.quality import reasons
 from shelfwise.functions.text import blank_to_null
-from shelfwise.plans.skew import keyed_lookup, small_lookup, top_n
+from shelfwise.plans.skew import compute_once, keyed_lookup, small_lookup, top_n
 
 
 def _stack(layers: Sequence[DataFrame]) -> DataFrame:
@@ -180,7 +180,7 @@ def worklist(
             F.when(F.coalesce("_image", F.lit(False)), F.lit("has-image")),
         )
     )
-    return joined.select(*base.columns, F.explode(modes).alias("mode"))
+    return compute_once(joined, _modes=modes).select(*base.columns, F.explode("_modes").alias("mode"))
 
 
 def catalog_union(catalogs: Mapping[str, DataFrame], tag: str = "catalog") -> DataFrame:

@@ -21,7 +21,7 @@ from shelfwise.functions.text import (
     words,
 )
 from shelfwise.operators.score_join import HOT_FEATURE_ROWS, Measure, Weights, score_join
-from shelfwise.plans.skew import keyed_lookup, stage, top_n
+from shelfwise.plans.skew import compute_once, keyed_lookup, stage, top_n
 
 # Units, stop words and scores of the two name matchers.
 UNITS = "ml|gr|g|kg|l|iu|mg|caps|tabs|tablets|patch|φακελ|x\\d+|shots|τσιπς|amp|amps"
@@ -230,7 +230,8 @@ def top_n_per_key(pairs: DataFrame, key: str, n: int, score: str = "score", ordi
 def token_frequencies(df: DataFrame, name: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """Rows per token, counted per task before the shuffle."""
     return (
-        df.select(F.explode(tokens(F.col(name), stop_words)).alias("token"))
+        compute_once(df, _tokens=tokens(F.col(name), stop_words))
+        .select(F.explode("_tokens").alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import html as H
 from shelfwise.functions import urls as U
 from shelfwise.functions.text import cut_at_word
-from shelfwise.plans.skew import BROADCAST_ROWS, RANK_WIDTH, running_rank
+from shelfwise.plans.skew import BROADCAST_ROWS, RANK_WIDTH, compute_once, running_rank
 
 
 def page_records(pages: DataFrame, sites: str, max_len: int = 700, html: str = "html", url: str = "url") -> DataFrame:
@@ -58,8 +58,8 @@ def page_links(pages: DataFrame, key: str, html: str = "html", url: str = "url")
     """Distinct same-host links per page; made distinct inside the row, no shuffle.
     Links that carry a fragment are jumps inside a page and are not taken."""
     found = F.transform(H.hrefs(F.col(html)), lambda h: U.resolve(H.decode_entities(h), F.col(url)))
-    link = F.explode(F.array_distinct(F.filter(found, lambda u: u.isNotNull())))
-    rows = pages.select(key, U.host(F.col(url)).alias("host"), link.alias("link"))
+    links = F.array_distinct(F.filter(found, lambda u: u.isNotNull()))
+    rows = compute_once(pages, _links=links).select(key, U.host(F.col(url)).alias("host"), F.explode("_links").alias("link"))
     return rows.where(U.host(F.col("link")) == F.col("host")).select(
         key, "host", "link", U.is_paged(F.col("link")).alias("is_paged"), U.product_url_verdict(F.col("link")).alias("verdict")
     )

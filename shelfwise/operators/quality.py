@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.quality import reasons, richness
 from shelfwise.functions.text import blank_to_null
-from shelfwise.plans.skew import BROADCAST_ROWS, top_n
+from shelfwise.plans.skew import BROADCAST_ROWS, compute_once, top_n
 
 
 def with_verdict(df: DataFrame, text: str) -> DataFrame:
     """Adds ``reasons`` (array) and ``ok``."""
-    return df.withColumn("reasons", reasons(F.col(text))).withColumn("ok", F.size("reasons") == 0)
+    return compute_once(df, reasons=reasons(F.col(text))).withColumn("ok", F.size("reasons") == 0)
 
 
 def reason_counts(flagged: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import blank_to_null, regex
+from shelfwise.plans.skew import compute_once
 
 Rule = tuple[str, str]
 
@@ -83,7 +84,7 @@ def exclude(df: DataFrame, text: str, rules=EXCLUSION_RULES) -> DataFrame:
     """Adds ``rule`` and ``reason``; kept rows have NULL in both."""
     rule = first_match(F.col(text), [(name, pattern) for name, pattern, _ in rules])
     reason = F.coalesce(*[F.when(F.col("rule") == name, F.lit(why)) for name, _, why in rules])
-    return df.withColumn("rule", rule).withColumn("reason", reason)
+    return compute_once(df, rule=rule).withColumn("reason", reason)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def validate(
         .when(~F.coalesce(F.trim(F.col(column)).isin(*allowed), F.lit(False)), F.lit("unknown-key"))
         .when(typed.isNull(), F.lit("price"))
     )
-    out = df.withColumn("problem", problem).withColumn("price_value", typed)
+    out = compute_once(df, problem=problem, price_value=typed)
     if vat:
         out = out.withColumn("vat_value", F.coalesce(F.col(vat).try_cast("int"), F.lit(default_vat)))
     return out

@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.plans.skew import HOT_KEYS, HOT_ROWS, is_small, keyed_lookup, stage, top_n
+from shelfwise.plans.skew import HOT_KEYS, HOT_ROWS, is_small, keyed_lookup, stage, stage_both, top_n
 
 #: A feature or set with more right signatures than this is hot.
 HOT_FEATURE_ROWS = 1_000
@@ -377,23 +377,25 @@ def _open_pairs(lrows: DataFrame, rrows: DataFrame, w: Weights, n: int, hot_rows
             return found
         if step == REDUCTIONS or stats.where("not hot").isEmpty():
             break
-        lred = stage(_reduced(lpost, w), f"left-reduced-{step}")
-        moved = lred if owner is None else keyed_lookup(
-            owner.withColumnRenamed("sig", "old"), lred, "old", "ls", "inner"
-        )
-        source = "old" if owner is None else "ls"
-        owner = stage(moved.select(F.col(source).alias("ls"), "sig"), f"owners-{step}")
         rred = _smallest(_reduced(rpost, w, ["ords"]).select("sig", F.explode("ords").alias("ord")), ["sig"], n)
+        lred, rred = stage_both((_reduced(lpost, w), f"left-reduced-{step}"), (rred, f"right-reduced-{step}"))
+        if owner is None:
+            owner = lred.withColumnRenamed("old", "ls")
+        else:
+            moved = keyed_lookup(owner.withColumnRenamed("sig", "old"), lred, "old", "ls", "inner")
+            owner = stage(moved.select("ls", "sig"), f"owners-{step}")
         lrows = _rows(lred.select("sig").distinct(), w)
-        rrows = _rows(stage(rred, f"right-reduced-{step}"), w, "ords")
+        rrows = _rows(rred, w, "ords")
 
     level = 1
     while True:
         add(_representatives(lpost, rpost, stats, w, n))
-        lrows = stage(_larger_sets(lpost, level == 1), f"left-sets-{level}")
+        lrows, rrows = stage_both(
+            (_larger_sets(lpost, level == 1), f"left-sets-{level}"),
+            (_larger_sets(rpost, level == 1, ["ords"]), f"right-sets-{level}"),
+        )
         if lrows.isEmpty():
             return found
-        rrows = stage(_larger_sets(rpost, level == 1, ["ords"]), f"right-sets-{level}")
         stats, lpost, rpost = _postings(lrows, rrows, hot_rows, f"set-counts-{level}")
         add(_cold_pairs(lpost.where("not hot"), rpost, stats, w, n))
         if stats.where("hot").isEmpty():
@@ -419,12 +421,12 @@ def score_join(
         "lid",
         _packed(F.col("tokens"), F.col("tokens"), F.col("ms"), _presence(F.col("ms")), F.col("promo").cast("string")).alias("sig"),
     )
-    lsig = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "left-signatures")
+    lsig = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     packed = right.select(
         "ord",
         _packed(F.col("strong"), F.col("weak"), F.col("ms"), _presence(F.col("ms")), F.col("promo").cast("string")).alias("sig"),
     )
-    rsig = stage(_smallest(packed, ["sig"], n), "right-signatures")
+    lsig, rsig = stage_both((lsig, "left-signatures"), (_smallest(packed, ["sig"], n), "right-signatures"))
     rrows = _rows(rsig, w, "ords")
     pairs, open_rows = _rarest_first(_rows(lsig, w), rrows, w, n, floor, hot_rows)
     for more in _open_pairs(open_rows, rrows, w, n, hot_rows):

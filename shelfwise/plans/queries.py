@@ -21,6 +21,7 @@ from shelfwise.operators import quality as Q
 from shelfwise.operators import rules as R
 from shelfwise.operators import serve as S
 from shelfwise.plans.fixtures import read, table, with_variants
+from shelfwise.plans.skew import compute_once
 from shelfwise.session import run_dir
 from shelfwise.sources import io
 from shelfwise.streaming.ingest import ingest, page_stream
@@ -466,8 +467,8 @@ def attribute_table(spark, sf):
 @query
 def attribute_facets(spark, sf):
     df = _attributes(spark, sf)
-    label = F.explode(F.concat("types", "audience", "areas"))
-    return df.select("brand", label.alias("label")).groupBy("brand", "label").agg(F.count(F.lit(1)).alias("n"))
+    df = compute_once(df, labels=F.concat("types", "audience", "areas"))
+    return df.select("brand", F.explode("labels").alias("label")).groupBy("brand", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -585,7 +586,8 @@ def jsonld_products(spark, sf):
 
 @query
 def sku_candidates(spark, sf):
-    return product_pages(spark, sf).select("ordinal", F.posexplode(H.sku_candidates(F.col("html"))).alias("position", "sku"))
+    found = compute_once(product_pages(spark, sf), skus=H.sku_candidates(F.col("html")))
+    return found.select("ordinal", F.posexplode("skus").alias("position", "sku"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,15 @@ def work_partitions(spark: SparkSession) -> int:
     return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and explodes can read without working
+    them out again. Below a plain projection the optimizer would repeat their
+    expressions in every filter it pushes down; it cannot push into a generator.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Counted check, at most ``max_rows + 1`` rows are read to answer it."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -105,6 +115,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_both(first: tuple[DataFrame, str], second: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Two independent tables, written at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        return list(pool.map(lambda job: stage(*job), (first, second)))
+
+
 def small_lookup(base: DataFrame, dim: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
     """Broadcast join if the dimension was counted as small, salted join if not."""
     if is_small(dim):
