@@ -174,7 +174,7 @@ def page_audit(spark, sf):
 
 @query
 def variant_conflict(spark, sf):
-    return M.drop_conflicts(table(spark, sf, "url_pairs"), "name", "url")
+    return M.drop_conflicts(table(spark, sf, "url_pairs", heavy=True), "name", "url")
 
 
 # --- joins ------------------------------------------------------------------

@@ -26,7 +26,7 @@ NULL_SALTS = 4_096
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for a join that costs far more than its input suggests; a few
     per core, so that uneven keys even out."""
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -74,8 +74,18 @@ def frames(spark, left, right):
     return l, r
 
 
-@pytest.mark.parametrize("shape", ["plain", "copies", "near-copies"])
-@pytest.mark.parametrize("hot_rows,n,floor", [(1000, 1, 3.0), (4, 1, None), (2, 3, None), (8, 2, 3.0)])
+@pytest.mark.parametrize(
+    "shape,hot_rows,n,floor",
+    [
+        ("plain", 1000, 1, 3.0),
+        ("plain", 2, 3, None),
+        ("copies", 4, 1, None),
+        ("copies", 8, 2, 3.0),
+        ("near-copies", 1000, 1, 3.0),
+        ("near-copies", 4, 1, None),
+        ("near-copies", 2, 3, None),
+    ],
+)
 def test_equals_every_pair(spark, shape, hot_rows, n, floor):
     left, right = random_rows(hot_rows, shape)
     l, r = frames(spark, left, right)
