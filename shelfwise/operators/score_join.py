@@ -11,9 +11,9 @@ that third. The work is cut in steps that lose no pair:
 1. *Copies collapse.* Rows with equal features and class score alike. Only
    distinct signatures are matched, each with its first n right ordinals.
 2. *Rarest first.* A left signature is joined on its rarest feature, if no more
-   than ``hot_rows`` right signatures have it. A right row that lacks it scores
-   at most the other features plus the bonus; if that is less than the n-th best
-   score found, the left signature is settled.
+   than ``hot_rows`` right signatures have it. Its most frequent features that
+   together cannot reach the n-th best score found need no join of their own;
+   often no feature is left and the signature is settled.
 3. *Cold features.* What is still open is joined on each of its features that at
    most ``hot_rows`` right signatures have.
 4. *Reduction.* A pair that shares hot features only scores by these alone. So
@@ -285,33 +285,41 @@ def _rarest_first(
     lrows: DataFrame, rrows: DataFrame, w: Weights, n: int, floor: float | None, hot_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Step 2: its pairs, and the left signatures still open with the features
-    they have left."""
+    they still have to be joined on.
+
+    All right rows with the rarest feature are seen. Of the other features, the
+    most frequent ones that together, with the bonus, stay below the n-th best
+    score found so far (or below ``floor``) cannot lift an unseen right row into
+    the result by themselves, so no join on them is needed. A tie could, as the
+    earlier right row wins, so only strictly smaller sums are dropped.
+    """
     stats, lpost, rpost = _postings(lrows, rrows, hot_rows, "features-all")
     bonus = F.when(_part(4) == "true", F.lit(w.bonus)).otherwise(F.lit(0.0))
+    feature = F.struct((-F.col("rn")).alias("order"), "f", "weight", "hot")
     rarest = F.min(F.when(~F.col("hot"), F.struct("rn", (-F.col("weight")).alias("less"), "f")))
     reach = (
         lpost.withColumn("weight", _feature_weight(w))
         .groupBy("sig")
-        .agg(F.sum("weight").alias("total"), rarest.alias("rarest"), F.collect_list("f").alias("sets"))
-        .select(
-            "sig",
-            "sets",
-            (F.col("total") + bonus).alias("reach"),
-            F.col("rarest.f").alias("pick"),
-            F.coalesce(-F.col("rarest.less"), F.lit(0.0)).alias("pick_weight"),
-        )
+        .agg(F.sum("weight").alias("total"), rarest.alias("rarest"), F.array_sort(F.collect_list(feature)).alias("items"))
+        .select("sig", "items", "total", bonus.alias("bonus"), F.col("rarest.f").alias("pick"))
     )
     if floor is not None:
-        reach = reach.where(F.col("reach") >= floor)
+        reach = reach.where(F.col("total") + F.col("bonus") >= floor)
     reach = stage(reach, "reach")
     picked = reach.where("pick is not null").select("sig", F.col("pick").alias("f"))
     first = stage(_best(_cold_pairs(picked, rpost, stats, w, n), "sig", n), "rarest-best")
     bound = first.where(F.col("rank") == n).select("sig", F.col("score").alias("bound"))
-    rest = F.filter("sets", lambda f: F.col("pick").isNull() | (f != F.col("pick")))
+
+    least = F.coalesce("bound", F.lit(floor).cast("double"), F.lit(float("-inf"))) - F.col("bonus")
+    others = F.filter("items", lambda x: F.col("pick").isNull() | (x["f"] != F.col("pick")))
+    upto = lambda i: F.aggregate(F.slice("items", 1, i + 1), F.lit(0.0), lambda sum_, x: sum_ + x["weight"])
+    needed = F.filter("items", lambda x, i: upto(i) >= F.col("least"))
+    kept = F.when(F.exists("needed", lambda x: x["hot"]), F.col("items")).otherwise(F.col("needed"))
     still_open = (
         reach.join(bound, "sig", "left")
-        .where(F.col("bound").isNull() | (F.col("reach") - F.col("pick_weight") >= F.col("bound")))
-        .select("sig", rest.alias("sets"), _no_sets())
+        .select("sig", least.alias("least"), others.alias("items"))
+        .withColumn("needed", needed)
+        .select("sig", F.transform(kept, lambda x: x["f"]).alias("sets"), _no_sets())
         .where(F.size("sets") > 0)
     )
     return first.select("sig", "ord", "score"), stage(still_open, "open-rows")
