@@ -429,12 +429,13 @@ def score_join(
         "lid",
         _packed(F.col("tokens"), F.col("tokens"), F.col("ms"), _presence(F.col("ms")), F.col("promo").cast("string")).alias("sig"),
     )
-    lsig = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     packed = right.select(
         "ord",
         _packed(F.col("strong"), F.col("weak"), F.col("ms"), _presence(F.col("ms")), F.col("promo").cast("string")).alias("sig"),
     )
-    lsig, rsig = stage_both((lsig, "left-signatures"), (_smallest(packed, ["sig"], n), "right-signatures"))
+    # names are tokenised once; later steps read narrow tables only
+    rows, rsig = stage_both((rows, "left-rows"), (_smallest(packed, ["sig"], n), "right-signatures"))
+    lsig = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "left-signatures")
     rrows = _rows(rsig, w, "ords")
     pairs, open_rows = _rarest_first(_rows(lsig, w), rrows, w, n, floor, hot_rows)
     for more in _open_pairs(open_rows, rrows, w, n, hot_rows):
