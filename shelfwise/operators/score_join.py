@@ -64,6 +64,15 @@ class Weights:
     promo_only_right: float = 0.0
     promo_both: float = 0.0
 
+    def __post_init__(self) -> None:
+        """The bounds of the join hold for rewards on what is shared only."""
+        if not self.strong >= self.weak >= 0:
+            raise ValueError("strong >= weak >= 0 expected")
+        if any(m.equal <= 0 or m.unequal > 0 for m in self.measures):
+            raise ValueError("a measure rewards equality and may only punish difference")
+        if self.promo_only_right > 0:
+            raise ValueError("a promo row on the right only may not be rewarded")
+
     @property
     def bonus(self) -> float:
         """The most a promo row on the left can gain beyond its features."""
@@ -72,7 +81,7 @@ class Weights:
     @property
     def nothing_shared(self) -> float:
         """The best score of a pair without a shared feature."""
-        return self.bonus + sum(max(0.0, m.unequal) for m in self.measures)
+        return self.bonus
 
 
 # --- signatures: strong tokens, weak tokens, measures, presence, promo ------

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from shelfwise.plans.skew import is_small, top_n
 
@@ -15,7 +15,9 @@ from shelfwise.plans.skew import is_small, top_n
 def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
     try:
         return spark.read.parquet(store).where(F.col("batch_id") < before)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -102,6 +102,12 @@ def test_near_copies_do_not_multiply(spark):
     assert len(got) == 400 and {tuple(g)[1:] for g in got} == {(0, 8.0, 1)}
 
 
+def test_weights_outside_the_bounds_are_refused():
+    for bad in (dict(strong=0.1), dict(measures=(Measure("m", "", 0.0),)), dict(promo_only_right=1.0)):
+        with pytest.raises(ValueError):
+            Weights(**bad)
+
+
 def names(spark, left, right):
     l = spark.createDataFrame(left, "ordinal long, name string")
     r = spark.createDataFrame(right, "ordinal long, name string, url string, section string")
