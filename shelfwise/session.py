@@ -29,12 +29,24 @@ def build_session(app: str = "shelfwise", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local one only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    If it is unset, a local session gets a folder of its own, once; on a cluster
+    a machine-local folder would lose data, so it is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="shelfwise-")
+        configured = _LOCAL_DIRS[app]
     return configured.rstrip("/")
 
 

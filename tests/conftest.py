@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from shelfwise.session import build_session
 
     session = build_session(
@@ -22,7 +22,5 @@ def spark(tmp_path_factory):
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -3,6 +3,7 @@
 import glob
 import json
 
+import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
@@ -150,3 +151,21 @@ def test_ingest_replays_a_lost_batch(spark, tmp_path):
 def test_pages_are_read_whole(spark):
     longest = read(spark, SF_DIR, "pages").agg(F.max(F.length("html"))).first()[0]
     assert QUERIES["page_audit"](spark, SF_DIR).agg(F.max("size")).first()[0] == longest
+
+
+class FakeSession:
+    """Just enough of a session to ask for its shared folder."""
+
+    def __init__(self, master, configured=None):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: configured)})
+
+
+def test_shared_folder():
+    from shelfwise.session import run_dir, shared_dir
+
+    assert shared_dir(FakeSession("spark://host", "hdfs://shared/")) == "hdfs://shared"
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == shared_dir(local) and run_dir(local, "a") != run_dir(local, "a")
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("spark://host"))
