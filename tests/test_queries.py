@@ -4,7 +4,8 @@ import pytest
 from compare import compare, connect
 from conftest import SF_DIR
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from shelfwise.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_check(spark, con, name):
     assert name in oracle_sql()
     diff, _, _ = compare(spark, con, SF_DIR, name)
