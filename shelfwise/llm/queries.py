@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dac import op10_token_files
 from .decontaminate import op7_decontamination
+from .embeddings import op1_embedding_dedup
 from .jaccard import op8_jaccard_join
 from .licenses import op5_license_scan
 from .lines import op4_line_dedup
@@ -14,6 +15,7 @@ from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
