@@ -36,7 +36,7 @@ from .pieces import WordEncoder
 
 CHUNK, BLOCK = 8, 512
 MAGIC = b"DAC1"
-#: Tokens of a shard, at most, unless one document has more.
+#: A shard is closed at the end of the slice of texts in which it reaches this many tokens.
 SHARD_TOKENS = 4_000_000
 NULL_ID = -(1 << 63)
 

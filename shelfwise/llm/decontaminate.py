@@ -132,7 +132,7 @@ def _around(docs: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside an occurrence of a
+    """One row per document: doc_id, key (tells texts of one id apart), n_words, n_hit (words inside an occurrence of a
     window), items (sorted ids of items with an occurring window), contaminated.
 
     Needs doc_id and text; other columns are ignored. Only fingerprints of texts are
@@ -178,6 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     r, b = rows.alias("r"), both.alias("b")
     return r.join(b, (F.col("r.key") == F.col("b.key")) & F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
         "r.doc_id",
+        "r.key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
