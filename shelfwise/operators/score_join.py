@@ -21,10 +21,12 @@ that third. The work is cut in steps that lose no pair:
    become copies), and step 3 is repeated on the few that remain. For a pair
    that shares more, the reduced score is a lower bound and its full score came
    from an earlier step, so the maximum over all steps is exact.
-5. *Hot sets.* Features that stay hot are combined to sets of two, hot sets to
-   sets of three and so on, until no set is hot. Cold sets are joined. A hot set
-   is a score by itself: all right rows of a set and class tie, and the first n
-   of them stand for the rest.
+5. *Blocks.* What is left are distinct sets of features that are all hot. Their
+   scores are sums of products, so blocks of left and right signatures are
+   multiplied as matrices; a task returns the first n of its block per left
+   signature. The work is the product of two numbers of distinct hot sets, each
+   far below the number of rows, and never depends on how many sets a row's
+   features could form.
 6. *The empty set* stands for pairs that share nothing; it is used only if such
    a score can be asked for.
 """
@@ -34,6 +36,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +47,11 @@ from shelfwise.plans.skew import HOT_KEYS, HOT_ROWS, is_small, keyed_lookup, sta
 HOT_FEATURE_ROWS = 1_000
 #: Rows of one feature that go to one sub-key of a salted join.
 POSTINGS_PER_PART = 50_000
-#: Reductions before hot sets are tried. Each one is exact, so the number only
+#: Reductions before blocks are compared. Each one is exact, so the number only
 #: decides how the work is split.
-REDUCTIONS = 3
+REDUCTIONS = 2
+#: Left and right signatures that meet in one task.
+LEFT_BLOCK, RIGHT_BLOCK = 2_048, 4_096
 
 
 @dataclass(frozen=True)
@@ -147,10 +153,6 @@ def _feature_weight(w: Weights) -> Column:
     return by_tag
 
 
-def _no_sets() -> Column:
-    return F.lit(None).cast("array<string>").alias("singles")
-
-
 def _smallest(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The ``n`` smallest ``ord`` per key as an array, limited before the shuffle."""
     if n == 1:
@@ -187,17 +189,6 @@ def _pair_score(w: Weights) -> Column:
     return shared("strong") * w.strong + shared("weak") * w.weak + _class_score(w, equal)
 
 
-def _set_score(w: Weights) -> list[Column]:
-    """Token score of the set in ``f``, and which measures it holds."""
-    feats = F.split("f", _GAP)
-
-    def count(tag: str) -> Column:
-        return F.size(F.filter(feats, lambda t: t.startswith(tag)))
-
-    base = count("t:") * w.strong + count("w:") * w.weak
-    return [base.alias("base"), *[(count(f"m{i}:") > 0).alias(f"eq{i}") for i in range(len(w.measures))]]
-
-
 def _best(pairs: DataFrame, key: str, n: int) -> DataFrame:
     """Best ``n`` of (key, ord, score); a pair may occur with several lower bounds.
 
@@ -235,8 +226,8 @@ def _postings(lrows: DataFrame, rrows: DataFrame, hot_rows: int, name: str) -> t
     Counts are combined before they are shuffled, so a feature that a third of
     the rows have costs one row per task.
     """
-    lexp = lrows.select("sig", "singles", F.explode("sets").alias("f"))
-    rexp = rrows.select("sig", "ords", "singles", F.explode("sets").alias("f"))
+    lexp = lrows.select("sig", F.explode("sets").alias("f"))
+    rexp = rrows.select("sig", "ords", F.explode("sets").alias("f"))
     stats = (
         lexp.groupBy("f").agg(F.count(F.lit(1)).alias("ln"))
         .join(rexp.groupBy("f").agg(F.count(F.lit(1)).alias("rn")), "f")
@@ -260,17 +251,65 @@ def _cold_pairs(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights
     return joined.select("sig", ord_.alias("ord"), _pair_score(w).alias("score"))
 
 
-def _representatives(lpost: DataFrame, rpost: DataFrame, stats: DataFrame, w: Weights, n: int) -> DataFrame:
-    """First right ordinals per hot set and class, offered to every left row."""
-    reps = _smallest(
-        rpost.where("hot").select("f", *_class_of("r_"), F.explode("ords").alias("ord")),
-        ["f", "r_present", "r_promo"],
-        n,
-    ).select("*", *_set_score(w))
-    left = lpost.where("hot").select("f", "sig", *_class_of())
-    joined = keyed_lookup(left, reps, "f", "sig", "inner", hot=_parts(stats.where("hot"), "ln"))
-    score = F.col("base") + _class_score(w, lambda i: F.col(f"eq{i}"))
-    return joined.select("sig", F.explode("ords").alias("ord"), score.alias("score"))
+def _multiplied(w: Weights, n: int):
+    """Best ``n`` right ordinals per left signature of one pair of blocks."""
+
+    def parts(sig: str) -> tuple[list[str], list[str], list[str], str, bool]:
+        strong, weak, ms, present, promo = sig.split(_TAB)
+        return strong.split(_GAP) if strong else [], weak.split(_GAP) if weak else [], ms.split(_BAR), present, promo == "true"
+
+    def products(group: pa.Table) -> pa.Table:
+        sigs, ords = group.column("sig").to_pylist(), group.column("ords").to_pylist()
+        left = [s for s, o in zip(sigs, ords) if o is None]
+        right = sorted((o, s) for s, many in zip(sigs, ords) if many is not None for o in many)
+        index: dict[str, int] = {}
+
+        def number(name: str) -> int:
+            return index.setdefault(name, len(index))
+
+        at, values = ([], []), []
+        for c, (_, sig) in enumerate(right):
+            strong, weak, ms, present, promo = parts(sig)
+            own = [(f"t:{t}", w.strong) for t in strong] + [(f"w:{t}", w.weak) for t in weak]
+            for i, m in enumerate(w.measures):
+                if present[i] == "1":
+                    own.append((f"p{i}", m.unequal))
+                if ms[i] if i < len(ms) else "":
+                    own.append((f"m{i}:{ms[i]}", m.equal - m.unequal if present[i] == "1" else m.equal))
+            own += [("promo", w.promo_both), ("plain", w.promo_only_right)] if promo else []
+            for name, weight in own:
+                at[0].append(number(name))
+                at[1].append(c)
+                values.append(weight)
+        gains = np.zeros((len(index) + 1, max(1, len(right))))
+        gains[at] = values
+        asks = np.zeros((len(left), len(index) + 1))
+        for r, sig in enumerate(left):
+            strong, weak, ms, present, promo = parts(sig)
+            names = [f"t:{t}" for t in strong] + [f"w:{t}" for t in weak] + [f"m{i}:{v}" for i, v in enumerate(ms) if v]
+            names += [f"p{i}" for i, x in enumerate(present) if x == "1"] + ["promo" if promo else "plain"]
+            asks[r, [index[x] for x in names if x in index]] = 1
+        out = {"sig": [], "ord": [], "score": []}
+        score = asks @ gains
+        for _ in range(min(n, len(right))):  # rows are in order of ord, so the first of equals wins
+            best = np.argmax(score, axis=1)
+            out["sig"] += left
+            out["ord"] += [right[c][0] for c in best]
+            out["score"] += score[np.arange(len(left)), best].tolist()
+            score[np.arange(len(left)), best] = -np.inf
+        return pa.table(out, schema=pa.schema([("sig", pa.string()), ("ord", pa.int64()), ("score", pa.float64())]))
+
+    return products
+
+
+def _block_pairs(lrows: DataFrame, rrows: DataFrame, w: Weights, n: int) -> DataFrame:
+    """Step 5. ``lrows``: sig; ``rrows``: sig, ords; both staged and without repeats."""
+    cuts = [max(1, -(-side.count() // size)) for side, size in ((lrows, LEFT_BLOCK), (rrows, RIGHT_BLOCK))]
+    own = [F.pmod(F.xxhash64("sig"), F.lit(c)).cast("int") for c in cuts]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(c - 1))) for c in cuts]
+    left = lrows.select("sig", F.lit(None).cast("array<long>").alias("ords"), own[0].alias("i"), every[1].alias("j"))
+    right = rrows.select("sig", F.col("ords").cast("array<long>").alias("ords"), every[0].alias("i"), own[1].alias("j"))
+    return left.union(right).groupBy("i", "j").applyInArrow(_multiplied(w, n), "sig string, ord long, score double")
 
 
 def _class_pairs(lsig: DataFrame, rsig: DataFrame, w: Weights, n: int) -> DataFrame:
@@ -328,7 +367,7 @@ def _rarest_first(
         reach.join(bound, "sig", "left")
         .select("sig", least.alias("least"), others.alias("items"))
         .withColumn("needed", needed)
-        .select("sig", F.transform(kept, lambda x: x["f"]).alias("sets"), _no_sets())
+        .select("sig", F.transform(kept, lambda x: x["f"]).alias("sets"))
         .where(F.size("sets") > 0)
     )
     return first.select("sig", "ord", "score"), stage(still_open, "open-rows")
@@ -348,30 +387,7 @@ def _reduced(postings: DataFrame, w: Weights, carried: Sequence[str] = ()) -> Da
 
 
 def _rows(sigs: DataFrame, w: Weights, *carried: str) -> DataFrame:
-    return sigs.select("sig", *carried, _features(w).alias("sets"), _no_sets())
-
-
-def _extend(sets: str, singles: str) -> Column:
-    """Every set with one more feature, each set written in sorted order once."""
-    return F.flatten(
-        F.transform(
-            F.col(sets),
-            lambda s: F.transform(
-                F.filter(F.col(singles), lambda f: f > F.substring_index(s, _GAP, -1)),
-                lambda f: F.concat_ws(_GAP, s, f),
-            ),
-        )
-    )
-
-
-def _larger_sets(postings: DataFrame, first: bool, carried: Sequence[str] = ()) -> DataFrame:
-    """Rows with their hot sets, extended by one feature; rows without are done."""
-    hot = postings.where("hot").groupBy("sig", *carried).agg(
-        F.array_sort(F.collect_list("f")).alias("sets"), F.first("singles").alias("singles")
-    )
-    if first:
-        hot = hot.withColumn("singles", F.col("sets"))
-    return hot.withColumn("sets", _extend("sets", "singles")).where(F.size("sets") > 0)
+    return sigs.select("sig", *carried, _features(w).alias("sets"))
 
 
 def _open_pairs(lrows: DataFrame, rrows: DataFrame, w: Weights, n: int, hot_rows: int) -> list[DataFrame]:
@@ -392,7 +408,7 @@ def _open_pairs(lrows: DataFrame, rrows: DataFrame, w: Weights, n: int, hot_rows
         add(_cold_pairs(lpost.where("not hot"), rpost, stats, w, n))
         if stats.where("hot").isEmpty():
             return found
-        if step == REDUCTIONS or stats.where("not hot").isEmpty():
+        if step == REDUCTIONS:
             break
         rred = _smallest(_reduced(rpost, w, ["ords"]).select("sig", F.explode("ords").alias("ord")), ["sig"], n)
         lred, rred = stage_both((_reduced(lpost, w), f"left-reduced-{step}"), (rred, f"right-reduced-{step}"))
@@ -404,20 +420,8 @@ def _open_pairs(lrows: DataFrame, rrows: DataFrame, w: Weights, n: int, hot_rows
         lrows = _rows(lred.select("sig").distinct(), w)
         rrows = _rows(rred, w, "ords")
 
-    level = 1
-    while True:
-        add(_representatives(lpost, rpost, stats, w, n))
-        lrows, rrows = stage_both(
-            (_larger_sets(lpost, level == 1), f"left-sets-{level}"),
-            (_larger_sets(rpost, level == 1, ["ords"]), f"right-sets-{level}"),
-        )
-        if lrows.isEmpty():
-            return found
-        stats, lpost, rpost = _postings(lrows, rrows, hot_rows, f"set-counts-{level}")
-        add(_cold_pairs(lpost.where("not hot"), rpost, stats, w, n))
-        if stats.where("hot").isEmpty():
-            return found
-        level += 1
+    add(_block_pairs(lrows.select("sig"), rrows.select("sig", "ords"), w, n))
+    return found
 
 
 def score_join(

@@ -1,6 +1,7 @@
 """The score join against comparing every pair, on inputs built to be skewed."""
 
 import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -190,3 +191,28 @@ def test_no_plan_compares_every_pair(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert df.select(F.count_distinct("lid")).first()[0] == 200
+
+
+@pytest.mark.parametrize("k,size", [(8, 3000), (12, 3000)])
+def test_shared_vocabulary_does_not_multiply(spark, k, size):
+    """Distinct rows of one own word and k of k + 3 words that nearly all rows share."""
+    rnd = random.Random(k)
+    words = [f"w{i}" for i in range(k + 3)]
+
+    def row(own):
+        return [own, *sorted(rnd.sample(words, k))]
+
+    left = [dict(lid=i, tokens=row(f"l{i}"), ms=["", ""], promo=False) for i in range(size)]
+    right = [dict(ord=i, strong=row(f"r{i}"), weak=[], ms=["", ""], promo=False) for i in range(size)]
+    l, r = frames(spark, left, right)
+    start = time.monotonic()
+    got = {x.lid: (x.ord, x.score) for x in score_join(l, r, W, 1, 4.0).collect()}
+    took = time.monotonic() - start
+    first = {}
+    for x in reversed(right):
+        first[frozenset(x["strong"][1:])] = x["ord"]
+    for x in rnd.sample(left, 200):
+        own = frozenset(x["tokens"][1:])
+        less, ord_ = min((-2.0 * len(own & s), o) for s, o in first.items())
+        assert got[x["lid"]] == (ord_, -less)
+    assert len(got) == size and took < 90
