@@ -2,11 +2,12 @@
 
 A text becomes the set of its five-word shingles (a text of one to four words is
 one shingle). Texts with equal sets are one class. Each class has one label in each
-of ``TREES`` prefix trees: ``DEPTH`` minimum hashes in a row. Classes that share a
-prefix are neighbours; the search starts with long prefixes and shortens them until
-the expected recall at the threshold reaches ``TARGET``. Below a prefix one class
-goes on to the shorter ones, the others stay linked to it, so a crowded node costs
-as many rows as it has classes, never their pairs.
+of ``TREES`` prefix trees: ``DEPTH`` minimum hashes in a row. The search begins at the
+full label and shortens the prefix until the expected recall at the threshold reaches
+``TARGET``; below that prefix the labels are sorted, which is the trie's order, and every
+class is linked to its neighbour, so a crowded node costs as many rows as it has classes,
+never their pairs. Before the shuffle each task links the classes of its own batch that
+share a prefix, and sends one of them.
 
 Linked classes form candidate groups. Within a group every pair is checked exactly
 on its shingle sets, block against block, so a group of any size is spread over many
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import arrow_map, components, stage, table, text_key
+from .common import arrow_map, components, maybe_broadcast, stage, table, text_key
 from .words import shingles, signed, texts
 
 WORDS, THRESHOLD = 5, 0.8
@@ -43,10 +45,9 @@ def recall(depth: int, similarity: float = THRESHOLD, trees: int = TREES) -> flo
     return 1 - (1 - similarity**depth) ** trees
 
 
-def depths(target: float = TARGET, step: int = 4) -> list[int]:
-    """Prefix lengths from the longest to the one that reaches the target recall."""
-    last = next((d for d in range(DEPTH, 0, -1) if recall(d) >= target), 1)
-    return [*range(DEPTH, last, -step), last]
+def shortened(target: float = TARGET) -> int:
+    """The longest prefix that reaches the target recall, from the full label downwards."""
+    return next((d for d in range(DEPTH, 0, -1) if recall(d) >= target), 1)
 
 
 def shingle_sets(text) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +75,10 @@ def minima(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, lengths: list[int]) -> DataFrame:
+def signatures(docs: DataFrame, prefix: int) -> DataFrame:
     """Every row of ``docs`` (doc_id, key, text) with set_id (digest of its shingle
-    set), n (size of the set) and the prefix keys, one array per length; without an
-    id or words these are null."""
+    set), n (size of the set) and per tree its prefix (hashed to a long) and the rest
+    of its label (cut to an int); without an id or words these are null."""
 
     def each(batch: pa.RecordBatch):
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -92,49 +93,46 @@ def signatures(docs: DataFrame, lengths: list[int]) -> DataFrame:
                 own = np.unique(h[s:e])
                 ids[r] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 sizes[r] = len(own)
-            low = minima(h, start).reshape(len(owner), TREES, DEPTH).astype(np.uint64)
+            low = minima(h, start).reshape(len(owner), TREES, DEPTH)
             k = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(owner), 1))
-            out = {}
-            offsets = np.concatenate(([0], np.cumsum(sizes > 0))).astype(np.int32) * TREES
-            for d in range(DEPTH):
-                k = (k ^ low[:, :, d]) * np.uint64(0x9FB21C651E98DF25)
+            for d in range(prefix):
+                k = (k ^ low[:, :, d].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
                 k ^= k >> np.uint64(29)
-                if d + 1 in lengths:
-                    values = pa.array(signed(k.reshape(-1).copy()))
-                    out[f"keys{d + 1}"] = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield out | {
+            rest = np.zeros((len(owner), TREES), np.uint32)
+            for d in range(prefix, DEPTH):
+                rest = rest << np.uint32(8) | low[:, :, d] & np.uint32(255)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes > 0))).astype(np.int32) * TREES)
+            yield {
                 "doc_id": batch.column(0).slice(text.first, text.rows),
                 "key": batch.column(1).slice(text.first, text.rows),
                 "set_id": pa.array(ids, pa.binary()),
                 "n": sizes,
+                "prefix": pa.ListArray.from_arrays(offsets, pa.array(signed(k.reshape(-1).copy()))),
+                "rest": pa.ListArray.from_arrays(offsets, pa.array(rest.reshape(-1).view(np.int32))),
             }
 
-    keys = "".join(f", keys{d} array<long>" for d in lengths)
-    return arrow_map(docs, each, f"doc_id long, key long, set_id binary, n int{keys}")
-
-
-def forest_links(classes: DataFrame, lengths: list[int]) -> DataFrame:
-    """Edges (a, b) between classes that share a prefix; ``classes``: node and keys.
-
-    Classes below one prefix share every shorter one, so only the smallest of them
-    looks for more there.
-    """
-    now = classes.select("node", F.explode(F.arrays_zip(*(f"keys{d}" for d in lengths))).alias("k"))
-    now = now.select("node", *(F.col(f"k.keys{d}").alias(f"k{d}") for d in lengths))
-    found = None
-    for d, shorter in zip(lengths, [lengths[i + 1 :] for i in range(len(lengths))]):
-        heads = now.groupBy(f"k{d}").agg(
-            F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), *(F.min(f"k{x}").alias(f"k{x}") for x in shorter)
-        )
-        links = (
-            now.select("node", f"k{d}")
-            .join(heads.where("members > 1").select(f"k{d}", "head"), f"k{d}")
-            .where("node > head")
-            .select(F.col("node").alias("a"), F.col("head").alias("b"))
-        )
-        found = links if found is None else found.union(links)
-        now = heads.select(F.col("head").alias("node"), *(f"k{x}" for x in shorter))
-    return found
+    return arrow_map(docs, each, "doc_id long, key long, set_id binary, n int, prefix array<long>, rest array<int>")
+
+
+def forest_links(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes that share a prefix; ``classes``: node, prefix, rest."""
+
+    def each(batch: pa.RecordBatch):
+        lists = [batch.column(i).flatten().to_numpy() for i in (1, 2)]
+        width = np.diff(batch.column(1).offsets.to_numpy())
+        node = np.repeat(batch.column(0).to_numpy(), width)
+        prefix, rest = lists
+        order = np.lexsort((node, rest, prefix))
+        node, prefix, rest = node[order], prefix[order], rest[order]
+        first = np.concatenate(([True], prefix[1:] != prefix[:-1]))[: len(node)]
+        near = np.where(first, np.int64(0), np.concatenate((node[:1], node[:-1])))
+        yield {"node": node, "prefix": prefix, "rest": rest, "near": pa.array(near, mask=first)}
+
+    sent = arrow_map(classes, each, "node long, prefix long, rest int, near long")
+    own = sent.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b"))
+    trie = W.Window.partitionBy("prefix").orderBy("rest", "node")
+    met = sent.where("near is null").select("node", "prefix", "rest").withColumn("near", F.lag("node").over(trie))
+    return own.union(met.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b")))
 
 
 def _verify(group: pa.Table) -> pa.Table:
@@ -216,19 +214,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     similar), component_id (smallest doc_id reachable by links), kept (it is its own
     component, or has no id), and key (tells texts of one id apart)."""
     docs = docs.select("doc_id", "text").withColumn("key", text_key())
-    lengths = depths()
-    every = stage(signatures(docs.select("doc_id", "key", "text"), lengths), "signatures")
+    every = stage(signatures(docs.select("doc_id", "key", "text"), shortened()), "signatures")
     narrow = every.select("doc_id", "key", "set_id", "n")
     sets = narrow.where("set_id is not null").groupBy("set_id", "n")
     sets = sets.agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count(F.lit(1)).alias("size"))
     sets = stage(sets.select("set_id", "n", "size", F.col("head.doc_id").alias("node"), F.col("head.key").alias("key")), "sets")
     heads = sets.select(F.col("node").alias("doc_id"), "key")
     labels = every.where("set_id is not null").join(heads, ["doc_id", "key"], "left_semi")
-    links = forest_links(labels.select(F.col("doc_id").alias("node"), *(f"keys{d}" for d in lengths)), lengths)
+    links = forest_links(labels.select(F.col("doc_id").alias("node"), "prefix", "rest"))
     candidate = components(links)
     nodes = candidate.join(sets, "node").select(F.col("component").alias("group"), "node", "key", "size", "n")
     dealt = stage(blocks(nodes), "blocks")
-    pairs = dealt.join(docs.select(F.col("doc_id").alias("node"), "key", "text"), ["node", "key"])
+    pairs = maybe_broadcast(dealt).join(docs.select(F.col("doc_id").alias("node"), "key", "text"), ["node", "key"])
     exact = stage(pairs.groupBy("group", "i", "j").applyInArrow(_verify, "node long, links long, root long"), "links")
     found = (
         exact.groupBy("node")
