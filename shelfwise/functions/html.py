@@ -26,13 +26,15 @@ TAG = r"<[^>]+>"
 
 def _numeric_entities(col: Column) -> Column:
     """``&#8211;`` and ``&#x2013;`` to characters, without leaving the JVM."""
-    runs = F.regexp_extract_all(col, F.lit(r"(&#\d{1,5};|&#[xX][0-9a-fA-F]{1,4};|&|[^&]+)"), F.lit(1))
+    runs = F.regexp_extract_all(col, F.lit(r"(&#\d+;|&#[xX][0-9a-fA-F]+;|&|[^&]+)"), F.lit(1))
 
     def piece(run: Column) -> Column:
-        dec = F.hex(F.regexp_extract(run, r"^&#(\d+);$", 1).try_cast("int"))
-        hexa = F.upper(F.regexp_extract(run, r"^&#[xX]([0-9a-fA-F]+);$", 1))
-        code = F.coalesce(F.when(F.length(dec) <= 4, dec), F.nullif(hexa, F.lit("")))
-        return F.coalesce(F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE"), run)
+        dec = F.regexp_extract(run, r"^&#0*(\d{1,7});$", 1).try_cast("int")
+        hexa = F.conv(F.nullif(F.regexp_extract(run, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10).try_cast("int")
+        code = F.coalesce(dec, hexa)
+        # beyond U+10FFFF, and halves of surrogate pairs, there is no character
+        real = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), run)
 
     return F.when(col.contains("&#"), F.array_join(F.transform(runs, piece), "")).otherwise(col)
 

@@ -61,7 +61,7 @@ def words(col: Column, kept: str, min_len: int, stop: Iterable[str] = ()) -> Col
     parts = F.split(F.trim(F.regexp_replace(col, f"[^{kept}]+", " ")), " ")
     out = F.array_distinct(F.filter(parts, lambda t: F.length(t) >= min_len))
     stop = sorted(set(stop))
-    return F.array_except(out, F.array(*[F.lit(s) for s in stop])) if stop else out
+    return F.array_except(out, F.array(*[fold(F.lit(s)) for s in stop])) if stop else out
 
 
 def tokens(col: Column, stop: Iterable[str] = (), min_len: int = 2) -> Column:

@@ -21,9 +21,11 @@ def _stack(layers: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def with_key(df: DataFrame, key: str) -> DataFrame:
-    """Blank keys become NULL, which never joins and is spread evenly."""
-    return df.withColumn(key, blank_to_null(F.col(key)))
+def lookup_key(base: DataFrame, merged: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on the key, which stays as it is; blank keys mean missing, never
+    match and are spread evenly."""
+    named = merged.withColumnRenamed(key, "_key")
+    return keyed_lookup(base.withColumn("_key", blank_to_null(F.col(key))), named, "_key", spread).drop("_key")
 
 
 def cascade_fields(
@@ -48,7 +50,7 @@ def cascade_fields(
     for f in first_only:
         picks.append(F.max(F.when(F.col("_layer") == 1, F.col(f))).alias(prefix + f))
     merged = _stack(layers).groupBy(key).agg(*picks)
-    return keyed_lookup(with_key(base, key), merged, key, spread)
+    return lookup_key(base, merged, key, spread)
 
 
 def cascade_records(
@@ -62,7 +64,7 @@ def cascade_records(
     """The whole record of the first layer that has the key, gaps included."""
     record = F.struct(*[F.col(f).alias(prefix + f) for f in fields], F.col("_layer").alias(prefix + "no"))
     merged = _stack(layers).groupBy(key).agg(F.min_by(record, F.col("_layer")).alias("_record"))
-    return keyed_lookup(with_key(base, key), merged, key, spread).select(
+    return lookup_key(base, merged, key, spread).select(
         *base.columns, *[F.col("_record")[prefix + f].alias(prefix + f) for f in (*fields, "no")]
     )
 
@@ -137,14 +139,17 @@ def resolve(
 
 
 def orphans(keyed: DataFrame, products: DataFrame, key: str = "barcode") -> DataFrame:
-    """Keys without a product."""
-    return keyed.join(products.select(key).distinct(), key, "left_anti")
+    """Rows whose key no product has. Blank and NULL keys have none; they do not take part in the join."""
+    known = F.coalesce(blank_to_null(F.col(key)).isNotNull(), F.lit(False))
+    absent = keyed.where(known).join(products.where(known).select(key).distinct(), key, "left_anti")
+    return absent.select(*keyed.columns).unionByName(keyed.where(~known))
 
 
 def worklist(
     base: DataFrame,
     override: DataFrame,
     supplemental: DataFrame,
+    filler: Sequence[str],
     key: str = "barcode",
     spread: str = "ordinal",
 ) -> DataFrame:
@@ -170,13 +175,13 @@ def worklist(
             F.min_by(text, F.when(text.isNotNull(), F.col("_layer"))).alias("_text"),
         )
     )
-    joined = keyed_lookup(with_key(base, key), merged, key, spread)
+    joined = lookup_key(base, merged, key, spread)
     no_image = ~F.coalesce("_image1", F.lit(False))
     modes = F.array_compact(
         F.array(
             F.when(no_image & ~F.coalesce("_has2", F.lit(False)), F.lit("missing")),
             F.when(no_image, F.lit("force")),
-            F.when(F.size(reasons(F.col("_text"))) > 0, F.lit("flagged")),
+            F.when(F.size(reasons(F.col("_text"), filler)) > 0, F.lit("flagged")),
             F.when(F.coalesce("_image", F.lit(False)), F.lit("has-image")),
         )
     )
@@ -196,10 +201,11 @@ def dedupe_first(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame
 
 
 def upsert_last(current: DataFrame, changes: DataFrame, key: str, version: str = "version") -> DataFrame:
-    """Keyed merge, the highest version wins."""
-    return top_n(
-        current.unionByName(changes, allowMissingColumns=True), [key], [F.col(version).desc()]
-    )
+    """Keyed merge, the highest version wins; of equal versions the change does, and
+    of several equal ones the first by all their columns, so a retry picks the same."""
+    both = current.withColumn("_late", F.lit(0)).unionByName(changes.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+    rest = [F.col(c) for c in both.columns if c not in (key, version, "_late")]
+    return top_n(both, [key], [F.col(version).desc(), F.col("_late").desc(), *rest]).drop("_late")
 
 
 def memberships(catalogs: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import html as H
 from shelfwise.functions import urls as U
 from shelfwise.functions.text import cut_at_word
-from shelfwise.plans.skew import BROADCAST_ROWS, RANK_WIDTH, compute_once, running_rank
+from shelfwise.plans.skew import RANK_WIDTH, compute_once, running_rank
 
 
 def page_records(pages: DataFrame, sites: str, max_len: int = 700, html: str = "html", url: str = "url") -> DataFrame:
@@ -83,10 +83,12 @@ def url_census(pages: DataFrame, opts: U.ProductUrlOptions = U.ProductUrlOptions
     )
 
 
-def host_in(df: DataFrame, hosts: Sequence[str], url: str = "url") -> DataFrame:
-    """Strict allow-list: the whole host must be listed, ``www.`` aside."""
-    if len(hosts) > BROADCAST_ROWS:
-        raise ValueError("host list too long, pass it as a table and semi join")
+def host_in(df: DataFrame, hosts: Sequence[str] | DataFrame, url: str = "url") -> DataFrame:
+    """Strict allow-list: the whole host must be listed, ``www.`` aside. Hosts are a
+    short list of the caller, or a table (host) of any length."""
+    if isinstance(hosts, DataFrame):
+        listed = hosts.select(F.col("host").alias("_host")).distinct()
+        return df.join(listed, U.host(F.col(url)) == F.col("_host"), "left_semi")
     return df.where(U.host(F.col(url)).isin(*hosts))
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.quality import reasons, richness
 from shelfwise.functions.text import blank_to_null
-from shelfwise.plans.skew import BROADCAST_ROWS, compute_once, top_n
+from shelfwise.plans.skew import compute_once, keyed_lookup, top_n
 
 
-def with_verdict(df: DataFrame, text: str) -> DataFrame:
+def with_verdict(df: DataFrame, text: str, filler: Sequence[str]) -> DataFrame:
     """Adds ``reasons`` (array) and ``ok``."""
-    return compute_once(df, reasons=reasons(F.col(text))).withColumn("ok", F.size("reasons") == 0)
+    return compute_once(df, reasons=reasons(F.col(text), filler)).withColumn("ok", F.size("reasons") == 0)
 
 
 def reason_counts(flagged: DataFrame) -> DataFrame:
@@ -43,22 +43,22 @@ def audit(verdicts: DataFrame, text: str, reason: str | None = None) -> DataFram
     return flagged.withColumn("length", F.length(F.coalesce(F.col(text), F.lit(""))))
 
 
-def pick_by_source(cands: DataFrame, ranks: Sequence[tuple[str, int]], key: str, host: str, ordinal: str, usable, other: int = 10) -> DataFrame:
-    """First usable candidate, preferred hosts first. The rank list is a Python
-    list of the caller, and its length is checked before it becomes a column."""
-    if len(ranks) > BROADCAST_ROWS:
-        raise ValueError("rank list too long, pass it as a table")
-    table = F.create_map(*[F.lit(v) for pair in ranks for v in pair])
-    ranked = cands.where(usable).withColumn("host_rank", F.coalesce(table[F.col(host)], F.lit(other)))
+def pick_by_source(cands: DataFrame, ranks: Sequence[tuple[str, int]] | DataFrame, key: str, host: str, ordinal: str, usable, other: int = 10) -> DataFrame:
+    """First usable candidate, preferred hosts first. Ranks are a short list of the
+    caller, or a table (host, rank) of any length, one row per host."""
+    usable = cands.where(usable)
+    if isinstance(ranks, DataFrame):
+        listed = ranks.select(F.col("host").alias(host), F.col("rank").alias("_rank_of_host"))
+        ranked = keyed_lookup(usable, listed, host, [key, ordinal])
+        ranked = ranked.withColumn("host_rank", F.coalesce("_rank_of_host", F.lit(other))).drop("_rank_of_host")
+    else:
+        table = F.create_map(*[F.lit(v) for pair in ranks for v in pair])
+        ranked = usable.withColumn("host_rank", F.coalesce(table[F.col(host)], F.lit(other)))
     return top_n(ranked, [key], [F.col("host_rank"), F.col(ordinal)])
 
 
-def pick_by_quality(cands: DataFrame, key: str, text: str, ordinal: str, first: int = 8, good: float = 3.0) -> DataFrame:
-    """Of a key's first ``first`` candidates: the first good one, else the best.
-
-    Looking at eight candidates is the rule itself, not a shortcut: the source
-    list is ordered and only its head is ever consulted.
-    """
-    head = top_n(cands, [key], [F.col(ordinal)], first).withColumn("score", richness(F.col(text)))
+def pick_by_quality(cands: DataFrame, key: str, text: str, ordinal: str, filler: Sequence[str], good: float = 3.0) -> DataFrame:
+    """Of all candidates of a key: the first good one, else the best."""
+    head = cands.withColumn("score", richness(F.col(text), filler))
     good_first = F.when(F.col("score") >= good, F.col(ordinal))
     return top_n(head, [key], [good_first.asc_nulls_last(), F.desc("score"), F.col(ordinal)])

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.plans.skew import HOT_KEYS, HOT_ROWS, is_small, keyed_lookup, stage, stage_both, top_n
+from shelfwise.plans.skew import HOT_ROWS, is_small, keyed_lookup, stage, stage_both, top_n
 
 #: A feature or set with more right signatures than this is hot.
 HOT_FEATURE_ROWS = 1_000
@@ -214,8 +214,6 @@ def _parts(stats: DataFrame, count: str) -> DataFrame:
     """Salting list of a side, from counts that are known anyway."""
     return (
         stats.where(F.col(count) > POSTINGS_PER_PART)
-        .orderBy(F.desc(count), "f")
-        .limit(HOT_KEYS)
         .select("f", F.ceil(F.col(count) / POSTINGS_PER_PART).cast("int").alias("_parts"))
     )
 
@@ -460,8 +458,6 @@ def score_join(
         best = best.where(F.col("score") >= floor)
     copies = (
         lsig.where(F.col("copies") > HOT_ROWS)
-        .orderBy(F.desc("copies"))
-        .limit(HOT_KEYS)
         .select("sig", F.ceil(F.col("copies") / HOT_ROWS).cast("int").alias("_parts"))
     )
     return keyed_lookup(rows, best, "sig", "lid", "inner", hot=copies).select("lid", "ord", "score", "rank")

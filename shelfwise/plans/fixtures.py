@@ -31,6 +31,8 @@ class Derived:
         return f"SELECT {cols} FROM {self.source}{join}{where}"
 
 
+#: Phrases that the shop of the fixture puts into its texts.
+FILLER = (r"Online\s+Pharmacy", r"free\s+shipping")
 KEY = "lpad(cast(p_partkey as string), 13, '0')"
 SIZE = "cast(p_size as string)"
 GREEK_FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -97,16 +99,14 @@ FIXTURES: dict[str, Derived] = {
         "part",
         {
             "barcode": "case when p_brand = 'Brand#1' then lpad(cast(p_partkey + 5000000 as string), 13, '0') "
-            f"else {KEY} end",
+            f"when p_partkey % 40 = 0 then '' else {KEY} end",
             "image": f"'img/' || {KEY} || '.jpg'",
             "version": "1",
         },
-        where="p_size <= 30",
     ),
     "manifest_changes": Derived(
         "part",
-        {"barcode": KEY, "image": f"'new/' || {KEY} || '.jpg'", "version": "2"},
-        where="p_type in ('SMALL', 'MEDIUM')",
+        {"barcode": KEY, "image": f"'new/' || {KEY} || '.jpg'", "version": "case when p_partkey % 3 = 0 then 0 else 1 end"},
     ),
     "catalog_a": Derived("part", {**PRODUCT_COLUMNS, "name": "'a: ' || p_name"}, "p_type in ('ECONOMY', 'PROMO')"),
     "catalog_b": Derived("part", {**PRODUCT_COLUMNS, "name": "'b: ' || p_name"}, "p_size <= 20"),
@@ -160,14 +160,14 @@ FIXTURES: dict[str, Derived] = {
             "name": f"case when p_partkey % 10 < 6 then p_name || ' ' || p_type || ' ' || {SIZE} || 'ml' "
             "when p_partkey % 10 < 8 then p_name || ' pack' "
             "else 'item' || cast(p_partkey as string) || ' ' || p_type end "
-            "|| case when p_partkey % 13 = 0 then ' δώρο' else '' end",
+            "|| case when p_partkey % 13 = 0 then ' δώρο' else '' end || case when p_partkey % 8 = 0 then ' Ορός' else '' end",
         },
     ),
     "site_list": Derived(
         "part",
         {
             "ordinal": "p_partkey",
-            "name": f"p_name || ' ' || {SIZE} || 'ml'",
+            "name": f"p_name || ' ' || {SIZE} || 'ml' || case when p_partkey % 6 = 0 then ' ορός serum' else '' end",
             "url": "'https://shop.example/' || lower(p_type) || '/' || replace(p_name, ' ', '-') || '-' "
             f"|| {SIZE} || 'ml.html'",
             "section": "case when p_partkey % 5 = 0 then 'proionta-prosfores' else lower(p_type) end",
@@ -214,7 +214,6 @@ FIXTURES: dict[str, Derived] = {
             "name": f"case when p_partkey % 3 = 0 then 'unlisted' else translate(p_name, '{TWIN_FROM}', '{TWIN_TO}') end",
             "url": f"'https://pharm.example/p/' || {KEY}",
         },
-        where="p_size <= 30",
     ),
     "url_pairs": Derived(
         "lineitem",
@@ -231,10 +230,10 @@ FIXTURES: dict[str, Derived] = {
         "documents",
         {
             "doc_id": "doc_id",
-            "product": "cast(floor(doc_id / 5) as bigint)",
+            "product": "cast(floor(doc_id / 12) as bigint)",
             "host": "source",
             "body": "case when doc_id % 9 = 2 then cast(null as string) "
-            "when doc_id % 10 = 0 then split_part(squashed, '.', 1) || '...' "
+            "when doc_id % 10 = 0 then squashed || '...' "
             f"when doc_id % 4 = 1 then translate(squashed, '{GREEK_FROM}', '{GREEK_TO}') "
             "when doc_id % 11 = 3 then squashed || ' Online  Pharmacy' else squashed end",
         },

@@ -41,7 +41,7 @@ FROM products
 """
 
 # description verdict, shared by several checks
-FILLER = r"(σε προσφορά στο\s+Pharm24|Ofarmakopoiosmou|Δωρε[άα]ν μεταφορικ[άα]|σε αγορ[έε]ς [άα]νω των|Online\s+Pharmacy)"
+FILLER = r"(Online\s+Pharmacy|free\s+shipping)"
 
 
 def verdict(source: str, key: str, text: str) -> dict[str, str]:
@@ -218,7 +218,7 @@ SELECT r.order_key, r.line_no, r.code, r.hint, coalesce(k.catalog, '') AS catalo
 FROM requests r JOIN ranked k USING (code, hint) WHERE rn = 1
 """
 ORACLES["orphans_anti"] = ctes("manifest", "products") + """
-SELECT barcode, image FROM manifest WHERE barcode NOT IN (SELECT barcode FROM products)
+SELECT barcode, image FROM manifest WHERE barcode = '' OR barcode NOT IN (SELECT barcode FROM products WHERE barcode <> '')
 """
 ORACLES["used_dims_semi"] = "SELECT DISTINCT p_brand AS brand, 'The ' || p_brand AS brand_label FROM part"
 SALES = """SELECT l_partkey AS ordinal, sum(l_quantity) AS quantity, p_name AS name, p_brand AS brand
@@ -249,7 +249,7 @@ def token_list(col: str, stop, min_len: int = 2) -> str:
     words = f"string_split(trim(regexp_replace(replace(strip_accents(lower({col})), 'ς', 'σ'), '[^a-z0-9_α-ω]+', ' ', 'g')), ' ')"
     out = f"list_distinct(list_filter({words}, lambda t: length(t) >= {min_len}))"
     if stop:
-        out = f"list_filter({out}, lambda t: NOT list_contains([{', '.join(lit(s) for s in stop)}], t))"
+        out = f"list_filter({out}, lambda t: NOT list_contains([{', '.join(lit(s.replace('ς', 'σ')) for s in stop)}], t))"
     return out
 
 
@@ -429,10 +429,9 @@ ORACLES["pick_by_quality"] = ctes(
     scored="""SELECT product, doc_id, CASE WHEN s = '' THEN 0 ELSE least(len, 500) / 100.0
         - CASE WHEN contains(why, 'pharmacy-fluff') THEN 5 ELSE 0 END
         - CASE WHEN contains(why, 'english-only') THEN 3 ELSE 0 END
-        - CASE WHEN contains(why, 'truncated') THEN 1 ELSE 0 END END AS score,
-        row_number() OVER (PARTITION BY product ORDER BY doc_id) AS place FROM verdicts""",
+        - CASE WHEN contains(why, 'truncated') THEN 1 ELSE 0 END END AS score FROM verdicts""",
 ) + """
-SELECT product, doc_id, cast(round(score, 2) AS double) AS score FROM scored WHERE place <= 8
+SELECT product, doc_id, cast(round(score, 2) AS double) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY product ORDER BY CASE WHEN score >= 3 THEN doc_id END NULLS LAST, score DESC, doc_id) = 1
 """
 ORACLES["rank_urls"] = ctes(parts=URL_PARTS) + """
@@ -454,8 +453,8 @@ SELECT name, min(ordinal) AS ordinal, arg_min(brand, ordinal) AS brand, cast(arg
 FROM products GROUP BY name
 """
 ORACLES["upsert_last"] = ctes("manifest", "manifest_changes") + """
-SELECT barcode, image, version FROM manifest_changes
-UNION ALL SELECT barcode, image, version FROM manifest WHERE barcode NOT IN (SELECT barcode FROM manifest_changes)
+SELECT barcode, image, version FROM (SELECT *, 1 AS late FROM manifest_changes UNION ALL SELECT *, 0 AS late FROM manifest) t
+QUALIFY row_number() OVER (PARTITION BY barcode ORDER BY version DESC, late DESC, image) = 1
 """
 ORACLES["classify_membership"] = ctes("manifest", "catalog_a", "catalog_b") + """
 SELECT barcode, CASE WHEN barcode IN (SELECT barcode FROM catalog_a) THEN 'a'
@@ -506,7 +505,7 @@ SELECT ordinal, CASE WHEN regexp_matches(x, '(?i)\b' || line || '\b') THEN x ELS
 """
 SLUG = r"""regexp_replace(left(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(replace(
   regexp_replace(strip_accents(title), '[\x{370}-\x{3ff}\x{1f00}-\x{1fff}]', ' ', 'g'), '+', ''), '[/\\]', '-', 'g'),
-  '[^\w\s-]', ' ', 'g')), '[\s-]+', '-', 'g'), '^-|-$', '', 'g'), 30), '-+$', '')"""
+  '[^\w\s-]', ' ', 'g')), '[\s-]+', '-', 'g'), '^-|-$', '', 'g'), 90), '-+$', '')"""
 SLUGS = f"SELECT ordinal, {SLUG} AS slug FROM titles"
 ORACLES["slug_keys"] = ctes("titles") + SLUGS
 ORACLES["slug_collisions"] = ctes("titles", slugs=SLUGS) + (

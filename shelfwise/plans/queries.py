@@ -20,7 +20,7 @@ from shelfwise.operators import pages as P
 from shelfwise.operators import quality as Q
 from shelfwise.operators import rules as R
 from shelfwise.operators import serve as S
-from shelfwise.plans.fixtures import read, table, with_variants
+from shelfwise.plans.fixtures import FILLER, read, table, with_variants
 from shelfwise.plans.skew import compute_once
 from shelfwise.session import run_dir
 from shelfwise.sources import io
@@ -71,7 +71,7 @@ def export_delimited(spark, sf):
 
 
 def _verdicts(spark, sf):
-    return Q.with_verdict(table(spark, sf, "texts", heavy=True), "body")
+    return Q.with_verdict(table(spark, sf, "texts", heavy=True), "body", FILLER)
 
 
 @query
@@ -115,7 +115,7 @@ def search_blob(spark, sf):
 @query
 def search_review(spark, sf):
     df = L.cascade_fields(table(spark, sf, "products"), _layers(spark, sf), FIELDS)
-    poor = F.size(reasons(F.col("layer_description"))) > 0
+    poor = F.size(reasons(F.col("layer_description"), FILLER)) > 0
     return S.search(df, ["name", "layer_name", "barcode"], "official", poor).select("ordinal", "layer_name")
 
 
@@ -264,7 +264,7 @@ def ranked_list_join(spark, sf):
 
 @query
 def worklist(spark, sf):
-    return L.worklist(table(spark, sf, "products").select("ordinal", "barcode"), *_layers(spark, sf)).select("ordinal", "mode")
+    return L.worklist(table(spark, sf, "products").select("ordinal", "barcode"), *_layers(spark, sf), filler=FILLER).select("ordinal", "mode")
 
 
 @query
@@ -390,7 +390,7 @@ def pick_by_source(spark, sf):
 
 @query
 def pick_by_quality(spark, sf):
-    return Q.pick_by_quality(table(spark, sf, "texts", heavy=True), "product", "body", "doc_id").select(
+    return Q.pick_by_quality(table(spark, sf, "texts", heavy=True), "product", "body", "doc_id", FILLER).select(
         "product", "doc_id", F.round("score", 2).alias("score")
     )
 
@@ -485,7 +485,7 @@ def expand_abbrev(spark, sf):
 
 
 def _slugs(spark, sf):
-    return table(spark, sf, "titles", heavy=True).select("ordinal", X.slug(F.col("title"), 30).alias("slug"))
+    return table(spark, sf, "titles", heavy=True).select("ordinal", X.slug(F.col("title")).alias("slug"))
 
 
 @query
@@ -523,7 +523,7 @@ def quality_flags(spark, sf):
 @query
 def quality_audit(spark, sf):
     df = L.cascade_fields(table(spark, sf, "products"), _layers(spark, sf), ["name", "description", "source"])
-    flagged = Q.audit(Q.with_verdict(df, "layer_description"), "layer_description", "too-short")
+    flagged = Q.audit(Q.with_verdict(df, "layer_description", FILLER), "layer_description", "too-short")
     return flagged.select(
         "ordinal", F.coalesce("layer_name", "name").alias("name"), F.coalesce("layer_source", F.lit("(none)")).alias("source"),
         F.array_join("reasons", "|").alias("reasons"), "length"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,6 @@ from shelfwise.session import run_dir
 
 #: A key with more rows than this is spread over several tasks.
 HOT_ROWS = 1_000_000
-#: At most this many hot keys are salted, which bounds the broadcast list.
-#: Salting changes only where a row is processed, so a key left out of the list
-#: is merely processed in one piece.
-HOT_KEYS = 1_000
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 100_000
 #: Sub-keys for rows whose key is NULL and can never match.
@@ -44,15 +41,13 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The biggest keys and into how many parts to cut them; never more than
-    ``HOT_KEYS`` rows. The count is combined before it is shuffled."""
+    """All keys with more than ``hot_rows`` rows and into how many parts to cut them.
+    The count is combined before it is shuffled."""
     return (
         df.where(" and ".join(f"`{k}` is not null" for k in keys))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     )
 
@@ -63,40 +58,37 @@ def keyed_lookup(
     keys: str | Sequence[str],
     spread: str | Sequence[str],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
     multiplies: bool = False,
 ) -> DataFrame:
     """Join ``base`` to a ``lookup`` that has one row, or a bounded few, per key.
 
-    Hot keys of ``base`` are cut into parts by a hash of the ``spread`` columns
-    (a row id, so a retried task salts the same way) and the matching lookup
-    rows are repeated once per part. Rows with a NULL key are spread as well.
-    A join that ``multiplies`` rows keeps its full number of partitions: adaptive
-    execution would size them by the small input and not by the work.
+    Hot keys are left to adaptive execution, which splits their partitions when it
+    sees them. Rows with a NULL key match nothing and would all meet in one task; a
+    hash of the ``spread`` columns (a row id, so a retried task salts the same way)
+    spreads them. A caller that knows its hot keys from counts it has anyway passes
+    them as ``hot`` (keys, _parts): they are cut into parts, and their lookup rows
+    repeated once per part; the list may have any length. A join that ``multiplies``
+    rows keeps its full number of partitions: adaptive execution would size them by
+    the small input and not by the work.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     spread = [spread] if isinstance(spread, str) else list(spread)
-    hot = hot_keys(base, keys, hot_rows) if hot is None else hot
     row_hash = F.xxhash64(*[F.col(c) for c in spread])
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    salted = (
-        base.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(any_null, F.pmod(row_hash, F.lit(NULL_SALTS)))
-            .otherwise(F.pmod(row_hash, F.coalesce("_parts", F.lit(1))))
-            .cast("int"),
-        )
-        .drop("_parts")
-    )
-    copies = (
-        lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts")
-    )
+    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    if hot is None:
+        salted, copies = base.withColumn("_parts", F.lit(1)), lookup.withColumn("_parts", F.lit(1))
+    else:
+        listed = F.broadcast(hot) if is_small(hot) else hot
+        salted, copies = base.join(listed, keys, "left"), lookup.join(listed, keys, "left")
+    salted = salted.withColumn(
+        "_salt",
+        F.when(any_null, F.pmod(row_hash, F.lit(NULL_SALTS))).otherwise(F.pmod(row_hash, F.coalesce("_parts", F.lit(1)))).cast("int"),
+    ).drop("_parts")
+    if hot is None:
+        copies = copies.withColumn("_salt", F.lit(0)).drop("_parts")
+    else:
+        copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     if multiplies:
         parts = work_partitions(base.sparkSession)
         salted = salted.repartition(parts, *keys, "_salt")

@@ -25,17 +25,22 @@ PRODUCT_SCHEMA = T.StructType(
 )
 
 
+#: A scan of fewer splits than this may be spread.
+FEW_SPLITS = 8
+
+
 def read_catalog(spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA, fmt: str = "parquet") -> DataFrame:
     """A product table with a fixed schema; nothing is inferred."""
     return spark.read.schema(schema).format(fmt).load(path)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """For a plain scan ahead of heavy per-row work: a table that has fewer
-    splits than the session has cores is spread over all of them. A table of
-    any size has more splits than that and is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """For a plain scan ahead of heavy per-row work: a table of a few splits, so of
+    about a gigabyte at most, is spread over all cores. Larger tables are never
+    shuffled; read them with a smaller ``spark.sql.files.maxPartitionBytes`` to get
+    more and shorter tasks."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 def explode_map(df: DataFrame, col: str, key: str = "barcode", value: str = "value", value_type: str = "string") -> DataFrame:

@@ -53,7 +53,7 @@ def test_worklist_modes(spark):
     good = "λέξη " * 60
     over = layer(spark, [("o", "n", good, ""), ("oi", "n", good, "img")])
     supp = layer(spark, [("s", "n", "short", "img")])
-    got = sorted((r.barcode or "", r.mode) for r in L.worklist(base, over, supp).collect())
+    got = sorted((r.barcode or "", r.mode) for r in L.worklist(base, over, supp, ["filler"]).collect())
     assert got == sorted(
         [("x", "missing"), ("x", "force"), ("x", "flagged"), ("o", "missing"), ("o", "force"),
          ("s", "force"), ("s", "flagged"), ("s", "has-image"),
@@ -78,13 +78,13 @@ def test_related_fill_with_one_dominant_line(spark):
     assert got[30] == [0, 1, 2, 3, 4, 5]
 
 
-def test_pick_by_quality_stops_at_the_first_good_one(spark):
+def test_pick_by_quality_looks_at_all_candidates(spark):
     g = lambda n: "λέξη " * n
     rows = [("a", 1, g(20)), ("a", 2, g(70)), ("a", 3, g(100))]
     rows += [("b", 1, g(20)), ("b", 2, g(40)), ("b", 3, None)]
     rows += [("c", i, g(10)) for i in range(8)] + [("c", 8, g(100))]
     df = spark.createDataFrame(rows, "k string, o long, t string")
-    assert sorted((r.k, r.o) for r in Q.pick_by_quality(df, "k", "t", "o").collect()) == [("a", 2), ("b", 2), ("c", 0)]
+    assert sorted((r.k, r.o) for r in Q.pick_by_quality(df, "k", "t", "o", ["filler"]).collect()) == [("a", 2), ("b", 2), ("c", 8)]
 
 
 def test_search_blank_term_matches_all(spark):

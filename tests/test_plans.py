@@ -8,6 +8,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from shelfwise.operators import layers as L
+from shelfwise.operators import pages as P
 from shelfwise.operators import quality as Q
 from shelfwise.operators import serve as S
 from shelfwise.plans import skew
@@ -59,11 +60,29 @@ def test_keyed_lookup_with_hot_and_null_keys(spark):
         "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("k")
     )
     look = base.select("k").distinct().where("k is not null").withColumn("v", F.upper("k"))
-    got = skew.keyed_lookup(base, look, "k", "id", hot_rows=50)
-    assert got.count() == 1000
-    assert got.where("v <=> upper(k)").count() == 1000
-    parts = {r.k: r._parts for r in skew.hot_keys(base, ["k"], 50).collect()}
-    assert parts == {"hot": 7}
+    hot = skew.hot_keys(base, ["k"], 50)
+    assert {r.k: r._parts for r in hot.collect()} == {"hot": 7}
+    for got in (skew.keyed_lookup(base, look, "k", "id"), skew.keyed_lookup(base, look, "k", "id", hot=hot)):
+        assert got.count() == 1000
+        assert got.where("v <=> upper(k)").count() == 1000
+
+
+def test_keyed_lookup_does_not_count_its_base(spark):
+    for name in ("cascade_fields", "display_table"):
+        text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+        assert text.count("FileScan") <= 6, (name, text.count("FileScan"))
+    df = QUERIES["cascade_fields"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert df.count("FileScan") <= 4 and df.count("Exchange hashpartitioning") <= 3
+
+
+def test_lists_may_be_tables(spark):
+    urls = spark.createDataFrame([("https://www.a.com/x",), ("https://b.com/y",)], "url string")
+    hosts = spark.createDataFrame([("a.com",)], "host string")
+    assert P.host_in(urls, hosts).collect() == P.host_in(urls, ["a.com"]).collect() != []
+    cands = spark.createDataFrame([("k", "b", 1), ("k", "a", 2), ("l", "c", 3)], "k string, host string, o long")
+    ranks = spark.createDataFrame([("a", 0), ("b", 5)], "host string, rank int")
+    listed, tabled = (sorted(map(tuple, Q.pick_by_source(cands, r, "k", "host", "o", F.lit(True)).select("k", "o", "host_rank").collect())) for r in ([("a", 0), ("b", 5)], ranks))
+    assert listed == tabled == [("k", 2, 0), ("l", 3, 10)]
 
 
 def test_running_rank_over_ranges(spark):
@@ -90,7 +109,7 @@ def test_export(spark, tmp_path):
 
 
 def test_report(spark, tmp_path):
-    v = Q.with_verdict(spark.createDataFrame([(1, None), (2, "short")], "id long, t string"), "t")
+    v = Q.with_verdict(spark.createDataFrame([(1, None), (2, "short")], "id long, t string"), "t", ["filler"])
     io.write_report(io.report_rows(Q.totals(v, "t"), Q.audit(v, "t").select("id", "reasons")), str(tmp_path / "r"))
     rows = spark.read.text(str(tmp_path / "r")).collect()
     totals = [json.loads(r.value) for r in rows if r.kind == "totals"]

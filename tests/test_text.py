@@ -88,7 +88,7 @@ LONG_GREEK = "λέξη " * 60
 
 
 def test_reasons(spark):
-    why = lambda c: F.array_join(reasons(c), "|")
+    why = lambda c: F.array_join(reasons(c, [r"Δωρε[άα]ν μεταφορικ[άα]"]), "|")
     assert one(spark, "  ", why) == one(spark, None, why) == "missing"
     assert one(spark, LONG_GREEK, why) == ""
     assert one(spark, "Short …", why) == "too-short|truncated"
@@ -97,9 +97,9 @@ def test_reasons(spark):
 
 
 def test_richness(spark):
-    assert one(spark, "", richness) == 0.0
-    assert one(spark, LONG_GREEK, richness) == 2.99
-    assert one(spark, LONG_GREEK * 3, richness) == 5.0
+    assert one(spark, "", lambda c: richness(c, ["filler"])) == 0.0
+    assert one(spark, LONG_GREEK, lambda c: richness(c, ["filler"])) == 2.99
+    assert one(spark, LONG_GREEK * 3, lambda c: richness(c, ["filler"])) == 5.0
 
 
 def test_rules_first_match_wins(spark):
