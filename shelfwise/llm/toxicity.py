@@ -8,7 +8,8 @@ model which sentences must carry a toxic label, so it can also point at them.
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest
 hash of their id, so the choice is the same on every run); every document is scored
 whole. Null and empty texts have no sentence and get the model's prior for an empty
-bag. Labels that are null, or of ids without a document, are ignored; of repeated
+bag. Only features that are ``LIFT`` times as frequent in toxic documents are looked at.
+Labels that are null, or of ids without a document, are ignored; of repeated
 labels the largest counts. Without any label of both kinds every score is the prior.
 """
 
@@ -22,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow_map, stage, table
 from .words import texts
 
 #: Bound of the labelled sample, size of the hashed feature space, documents that a feature needs.
-SAMPLE_ROWS, BITS, LEAST_DOCS = 6_000, 20, 6
+SAMPLE_ROWS, BITS, LEAST_DOCS = 6_000, 20, 3
 PREFIXES = (4, 5, 6)
+#: How much more frequent a feature must be in toxic documents than in others to be looked at.
+LIFT = 1.5
 STEPS, WARM, RATE, SPARSE = 120, 12, 0.1, 1e-4
 THRESHOLD = 0.3
 
@@ -74,13 +77,10 @@ def fit(labels: np.ndarray, sentence_doc: np.ndarray, pairs: np.ndarray) -> Mode
     ``sentence_doc``: document of each sentence, in order; ``pairs``: (sentence, feature).
     """
     share = float(labels.mean()) if len(labels) else 0.0
-    weight = np.zeros(1 << BITS)
+    weight = np.zeros(1 << BITS, np.float32)
     if not 0 < share < 1:
         return Model(weight, -30.0, share)
-    doc = sentence_doc[pairs[0]]
-    seen = np.unique(doc << BITS | pairs[1]) & ((1 << BITS) - 1)
-    often = np.bincount(seen, minlength=1 << BITS) >= LEAST_DOCS
-    coded = np.unique((pairs[0] << BITS | pairs[1])[often[pairs[1]]])
+    coded = np.unique(pairs[0] << BITS | pairs[1])
     used, feature = np.unique(coded & ((1 << BITS) - 1), return_inverse=True)
     sentence, n = coded >> BITS, len(sentence_doc)
     docs = len(labels)
@@ -106,9 +106,8 @@ def fit(labels: np.ndarray, sentence_doc: np.ndarray, pairs: np.ndarray) -> Mode
     return Model(weight, bias, share)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
-    """Fits on a bounded sample of labelled documents. ``labels``: doc_id, toxic;
-    ``allowed``: a condition on doc_id that the rows used for fitting must meet."""
+def _sampled(docs: DataFrame, labels: DataFrame, allowed: Column | None) -> DataFrame:
+    """Features of the labelled sample: doc_id, toxic, n sentences, and pairs (sentence, feature) as raw ints."""
     known = labels.where("doc_id is not null and toxic is not null")
     if allowed is not None:
         known = known.where(allowed)
@@ -116,41 +115,74 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # bounded
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def each(batches):
-        for batch in batches:
-            for text in texts(batch.column("text")):
-                row, _, _, pairs = features(text)
-                toxic = batch.column("toxic").slice(text.first, text.rows)
-                cut = np.searchsorted(row, np.arange(text.rows + 1))
-                order = np.argsort(pairs[0], kind="stable")
-                s, f = pairs[0][order], pairs[1][order].astype(np.int32)
-                at = np.searchsorted(s, cut)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").slice(text.first, text.rows),
-                        "toxic": toxic.cast(pa.int32()),
-                        "n": np.diff(cut).astype(np.int32),
-                        "sentence": [(s[at[r] : at[r + 1]] - cut[r]).astype(np.int32).tobytes() for r in range(text.rows)],
-                        "feature": [f[at[r] : at[r + 1]].tobytes() for r in range(text.rows)],
-                    }
-                )
+    def each(batch: pa.RecordBatch):
+        for text in texts(batch.column(1)):
+            row, _, _, pairs = features(text)
+            cut = np.searchsorted(row, np.arange(text.rows + 1))
+            order = np.argsort(pairs[0], kind="stable")
+            s, f = pairs[0][order], pairs[1][order].astype(np.int32)
+            at = np.searchsorted(s, cut)
+            yield {
+                "doc_id": batch.column(0).slice(text.first, text.rows),
+                "toxic": batch.column(2).slice(text.first, text.rows),
+                "n": np.diff(cut).astype(np.int32),
+                "sentence": [(s[a:b] - c).astype(np.int32).tobytes() for a, b, c in zip(at[:-1], at[1:], cut)],
+                "feature": [f[a:b].tobytes() for a, b in zip(at[:-1], at[1:])],
+            }
+
+    return arrow_map(sample.select("doc_id", "text", "toxic"), each, "doc_id long, toxic int, n int, sentence binary, feature binary")
+
+
+def _screened(sample: DataFrame) -> np.ndarray:
+    """Features that are frequent enough, and more so in toxic documents."""
+
+    def each(batch: pa.RecordBatch):
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for toxic, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts[int(toxic > 0), np.unique(np.frombuffer(own.as_buffer(), np.int32))] += 1
+        seen = np.flatnonzero(counts.any(axis=0))
+        yield {"feature": seen.astype(np.int32), "clean": counts[0, seen].astype(np.int64), "toxic": counts[1, seen].astype(np.int64)}
+
+    counts = arrow_map(sample.select("toxic", "feature"), each, "feature int, clean long, toxic long").groupBy("feature")
+    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kinds = sample.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
+    often = F.col("clean") + F.col("toxic") >= LEAST_DOCS
+    lift = (F.col("toxic") + 0.5) / (kinds["toxic"] + 1) >= LIFT * (F.col("clean") + 0.5) / (kinds["clean"] + 1)
+    return np.sort(counts.where(often & lift).select("feature").toArrow().column(0).to_numpy())  # at most 2**BITS
 
-    rows = sample.mapInArrow(each, "doc_id long, toxic int, n int, sentence binary, feature binary").toArrow()
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
+    """Fits on a bounded sample of labelled documents. ``labels``: doc_id, toxic;
+    ``allowed``: a condition on doc_id that the rows used for fitting must meet."""
+    sample = stage(_sampled(docs, labels, allowed), "toxicity-sample")
+    screened = sample.sparkSession.sparkContext.broadcast(_screened(sample))
+
+    def each(batch: pa.RecordBatch):
+        kept = screened.value
+        out = {"sentence": [], "feature": []}
+        for s, f in zip(batch.column(3), batch.column(4)):
+            s, f = (np.frombuffer(x.as_buffer(), np.int32) for x in (s, f))
+            place = np.minimum(np.searchsorted(kept, f), max(0, len(kept) - 1))
+            good = kept[place] == f if len(kept) else np.zeros(len(f), bool)
+            out["sentence"].append(s[good].tobytes())
+            out["feature"].append(f[good].tobytes())
+        yield out | {c: batch.column(i) for i, c in enumerate(("doc_id", "toxic", "n"))}
+
+    rows = arrow_map(sample, each, "doc_id long, toxic int, n int, sentence binary, feature binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending")])
     n = rows.column("n").to_numpy()
     base = np.concatenate(([0], np.cumsum(n)))
-    parts = [np.frombuffer(x.as_py(), np.int32) for x in rows.column("sentence")]
-    sentence = np.concatenate([p + base[i] for i, p in enumerate(parts)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    feature = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows.column("feature")] or [np.zeros(0)])
-    return fit(
-        rows.column("toxic").to_numpy() > 0, np.repeat(np.arange(len(n)), n), np.stack((sentence, feature.astype(np.int64)))
-    )
+    none = np.zeros(0, np.int64)
+    sentence = [np.frombuffer(x.as_buffer(), np.int32) + base[i] for i, x in enumerate(rows.column("sentence"))]
+    feature = [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in rows.column("feature")]
+    pairs = np.stack((np.concatenate([none, *sentence]), np.concatenate([none, *feature])))
+    return fit(rows.column("toxic").to_numpy() > 0, np.repeat(np.arange(len(n)), n), pairs)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity (0 to 1), n_toxic_sentences (those with p of at least
     one half), worst_sentence (its text, lower case) and worst_score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.prior))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.prior))
     names = docs.columns
     new = ["toxicity", "n_toxic_sentences", "worst_sentence", "worst_score"]
     if taken := {x.lower() for x in names} & set(new):
