@@ -87,23 +87,44 @@ def strip_site_suffix(title: Column, sites: str) -> Column:
 JSONLD_BLOCK = r"(?s)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 _FIELDS = "name string, description string, image string, sku string, mpn string, gtin13 string, gtin12 string, gtin string"
 _LEAF = f"struct<`@type`: string, {_FIELDS.replace(' string', ': string')}>"
-_NODE = _LEAF[:-1] + f", `@graph`: array<{_LEAF}>>"
+PRODUCT_TYPE = r'^(?:Product$|\[.*"Product")'
+#: Graphs within graphs that are followed.
+GRAPH_LEVELS = 3
+
+
+def _node(level: int) -> str:
+    return _LEAF if not level else _LEAF[:-1] + f", `@graph`: array<{_node(level - 1)}>>"
+
+
+def jsonld_nodes(html: Column) -> Column:
+    """All JSON-LD nodes: block by block, in each the top level, then its graphs,
+    then the graphs within these. Broken blocks are skipped."""
+    blocks = F.regexp_extract_all(html, F.lit(regex(JSONLD_BLOCK)), F.lit(1))
+
+    def levels(nodes: Column, level: int) -> list[Column]:
+        if not level:
+            return [nodes]
+        empty = F.array().cast(f"array<{_node(level - 1)}>")
+        inner = F.flatten(F.transform(nodes, lambda n: F.coalesce(n["@graph"], empty)))
+        return [F.transform(nodes, lambda n: n.dropFields("`@graph`")), *levels(inner, level - 1)]
+
+    def of_block(block: Column) -> Column:
+        none = F.array().cast(f"array<{_node(GRAPH_LEVELS)}>")
+        return F.coalesce(F.from_json(F.trim(block), f"array<{_node(GRAPH_LEVELS)}>"), none)
+
+    # a parsed block is an array of one, so that it is named and read once
+    return F.flatten(F.flatten(F.transform(blocks, lambda b: F.transform(F.array(of_block(b)), lambda t: F.concat(*levels(t, GRAPH_LEVELS))))))
 
 
 def with_jsonld(df: DataFrame, html: str, out: str = "ld") -> DataFrame:
-    """Adds the struct of the first JSON-LD Product: top level before ``@graph``.
+    """Adds the struct of the first JSON-LD Product.
 
     Nested values are read as raw JSON text, so a field may be a string, an array
-    or an object; broken blocks are skipped. Every step is a projection of its
-    own, so a page is parsed once although many fields are read from it.
+    or an object. Every step is a projection of its own, so a page is parsed once
+    although many fields are read from it.
     """
-    blocks = F.regexp_extract_all(F.col(html), F.lit(regex(JSONLD_BLOCK)), F.lit(1))
-    none, no_leaf = F.array().cast(f"array<{_NODE}>"), F.array().cast(f"array<{_LEAF}>")
-    tops = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.from_json(F.trim(b), f"array<{_NODE}>"), none)))
-    leaves = F.transform(F.col("_tops"), lambda n: n.dropFields("`@graph`"))
-    inner = F.flatten(F.transform(F.col("_tops"), lambda n: F.coalesce(n["@graph"], no_leaf)))
-    is_product = lambda n: n["@type"].rlike(r'^(?:Product$|\[.*"Product")')
-    product = F.get(F.filter(F.concat(leaves, inner), is_product), F.lit(0))
+    is_product = lambda n: n["@type"].rlike(PRODUCT_TYPE)
+    product = F.get(F.filter("_nodes", is_product), F.lit(0))
     image = F.col("_product.image")
     first_image = F.when(image.startswith("["), F.get_json_object(image, "$[0]")).otherwise(image)
     url = F.when(F.col("_image").startswith("{"), F.get_json_object("_image", "$.url")).otherwise(F.col("_image"))
@@ -114,12 +135,12 @@ def with_jsonld(df: DataFrame, html: str, out: str = "ld") -> DataFrame:
         F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("sku", "mpn")]).alias("sku"),
         F.coalesce(*[blank_to_null(F.col(f"_product.{c}")) for c in ("gtin13", "gtin12", "gtin")]).alias("gtin"),
     )
-    parsed = compute_once(df, _tops=tops)
+    parsed = compute_once(df, _nodes=jsonld_nodes(F.col(html)))
     return (
         compute_once(parsed, _product=product)
         .withColumn("_image", first_image)
         .withColumn(out, F.when(F.col("_product").isNotNull(), fields))
-        .drop("_tops", "_product", "_image")
+        .drop("_nodes", "_product", "_image")
     )
 
 
@@ -169,8 +190,14 @@ def to_line(html: Column) -> Column:
 # Containers that may hold the long description, in order.
 BLOCK_PATTERNS = (
     r"(?s)<div[^>]+class=[\"']product-text[\"'][^>]*>\s*<div[^>]+class=[\"']text[\"'][^>]*>(.*?)</div>\s*</div>",
+    r"(?s)<div[^>]+class=[\"']product-text[\"'][^>]*>(.*?)</div>\s*</div>",
     r"(?s)<div[^>]+class=[\"']strong-desc[\"'][^>]*>(.*?)</div>",
+    r"(?s)<div[^>]+class=[\"'][^\"']*woocommerce-Tabs-panel--description[^\"']*[\"'][^>]*>(.*?)</div>\s*</div>",
+    r"(?s)<div[^>]+id=[\"']tab-description[\"'][^>]*>(.*?)</div>\s*(?=<div|<footer|<section)",
     r"(?s)<div[^>]+class=[\"'][^\"']*woocommerce-product-details__short-description[^\"']*[\"'][^>]*>(.*?)</div>",
+    r"(?s)<div[^>]+itemprop=[\"']description[\"'][^>]*>(.*?)</div>\s*(?=<div|<footer|<section)",
+    r"(?s)<div[^>]+class=[\"'][^\"']*(?:elementor-widget-woocommerce-product-content|elementor-widget-text-editor)[^\"']*[\"'][^>]*>(.*?)</div>\s*</div>",
+    r"(?s)<div[^>]+class=[\"'][^\"']*entry-content[^\"']*[\"'][^>]*>(.*?)</(?:div|article)>\s*</article>",
     r"(?s)<(?:div|section)[^>]+class=[\"'][^\"']*product-description[^\"']*[\"'][^>]*>(.*?)</(?:div|section)>",
     r"(?s)<h[1-6][^>]*>\s*(?:Περιγραφή|ΠΕΡΙΓΡΑΦΗ|Description)\s*</h[1-6]>(.*?)(?=<h[1-6]|</section|</article|<footer)",
 )
@@ -178,9 +205,11 @@ BLOCK_PATTERNS = (
 SUBTITLE_PATTERNS = (
     r"(?s)<h4[^>]+class=[\"'][^\"']*sub-title[^\"']*[\"'][^>]*>(.*?)</h4>",
     r"(?s)<div[^>]+class=[\"'][^\"']*woocommerce-product-details__short-description[^\"']*[\"'][^>]*>(.*?)</div>",
+    r"(?s)<div[^>]+class=[\"'][^\"']*entry-summary[^\"']*[\"'][^>]*>.*?<(?:h2|h3|h4|p|strong|b)[^>]*>(.*?)</(?:h2|h3|h4|p|strong|b)>",
     r"(?s)<(?:div|h2|h3|p)[^>]+class=[\"'][^\"']*(?:product[- ]?subtitle|tagline|subtitle|product[- ]?tagline|product[- ]?intro)[^\"']*[\"'][^>]*>(.*?)</(?:div|h2|h3|p)>",
     r"(?s)<h1[^>]*>.*?</h1>\s*<h2[^>]*>(.*?)</h2>",
     r"(?s)<h1[^>]*>.*?</h1>.*?<(?:p|div)[^>]*>\s*<strong[^>]*>(.*?)</strong>\s*</(?:p|div)>",
+    r"(?s)<h2[^>]+class=[\"'][^\"']*elementor-heading-title[^\"']*[\"'][^>]*>(.*?)</h2>",
 )
 MIN_BLOCK = 120
 SUBTITLE_LENGTH = (15, 250)
@@ -196,6 +225,17 @@ def with_longest_block(df: DataFrame, html: str, out: str = "block", patterns=BL
     return df.withColumn("_sized", sized).withColumn(out, F.when(best["n"] >= min_len, best["text"])).drop("_sized")
 
 
+def with_best_description(df: DataFrame, html: str, out: str = "description", min_len: int = MIN_BLOCK) -> DataFrame:
+    """Adds the longest container text or, if that is not longer, the description of
+    the first JSON-LD Product whose text is long enough; NULL if there is neither."""
+    products = F.filter("_nodes", lambda n: n["@type"].rlike(PRODUCT_TYPE) & n["description"].isNotNull())
+    texts = F.filter(F.transform(products, lambda n: to_text(n["description"])), lambda t: F.length(t) >= min_len)
+    found = with_longest_block(compute_once(df, _nodes=jsonld_nodes(F.col(html))), html, "_block", min_len=min_len)
+    found = compute_once(found, _told=F.get(texts, F.lit(0)))
+    longer = F.length("_block") > F.coalesce(F.length("_told"), F.lit(0))
+    return found.withColumn(out, F.when(longer, F.col("_block")).otherwise(F.col("_told"))).drop("_nodes", "_block", "_told")
+
+
 def subtitle(html: Column, patterns=SUBTITLE_PATTERNS) -> Column:
     """First subtitle that is neither too short, too long nor too many sentences."""
     texts = F.array(

@@ -80,8 +80,25 @@ def is_product_url(url: Column, opts: ProductUrlOptions = ProductUrlOptions()) -
     return product_url_verdict(url, opts).isin("accepted", "long-slug")
 
 
+def _without_dots(url: Column) -> Column:
+    """Takes ``.`` and ``..`` out of an absolute URL's path; ``..`` stops at the root."""
+    origin, rest = (F.regexp_extract(url, r"^(https?://[^/?#]+)([^?#]*)(.*)$", g) for g in (1, 2))
+    query = F.regexp_extract(url, r"^(https?://[^/?#]+)([^?#]*)(.*)$", 3)
+    parts = F.slice(F.split(F.regexp_replace(rest, r"(/\.{1,2})$", "$1/"), "/"), 2, 1_000_000)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc)
+        .otherwise(F.array_append(acc, s)),
+    )
+    return F.when(rest.rlike(r"/\.{1,2}(?:/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), query)).otherwise(url)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of a link found on page ``base``, without its fragment."""
+    """Absolute form of a link found on page ``base``, without its fragment: a mere
+    query keeps the page's path, and ``.`` and ``..`` are worked out."""
+    page = F.regexp_replace(base, r"[?#].*$", "")
     scheme = F.regexp_extract(base, r"^(https?):", 1)
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(https?://[^/]+(?:/.*/|/)?)", 1)
@@ -90,7 +107,8 @@ def resolve(href: Column, base: Column) -> Column:
         F.when(href.rlike("^(?i)https?://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(page, href))
         .when(href.rlike("^(?i)[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
         .otherwise(F.concat(folder, href))
     )
-    return F.regexp_replace(full, "#.*$", "")
+    return _without_dots(F.regexp_replace(full, "#.*$", ""))

@@ -108,15 +108,20 @@ def resolve(
     spread: Sequence[str],
     fields: Sequence[str],
     ordinal: str = "ordinal",
+    variants: str = "variants",
 ) -> DataFrame:
-    """The hinted catalogue first, then the fixed order of ``catalogs``.
+    """The hinted catalogue first, then the fixed order of ``catalogs``; a catalogue
+    with a ``variants`` column is searched by these codes as well.
 
     One row per code with the first hit of every catalogue is built by a
     combining aggregate, so each request meets exactly one lookup row.
     """
     stacked = None
     for name, df in catalogs.items():
-        part = df.select(code, F.lit(name).alias("_catalog"), F.struct(F.col(ordinal), *fields).alias("_row"))
+        codes = F.array(code)
+        if variants in df.columns:
+            codes = F.array_union(codes, F.coalesce(variants, F.array().cast("array<string>")))
+        part = df.select(F.explode(codes).alias(code), F.lit(name).alias("_catalog"), F.struct(F.col(ordinal), *fields).alias("_row"))
         stacked = part if stacked is None else stacked.unionByName(part)
     firsts = (
         stacked.where(blank_to_null(F.col(code)).isNotNull())

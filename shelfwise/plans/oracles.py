@@ -209,10 +209,10 @@ ORACLES["resolve_priority"] = ctes(
     "catalog_b",
     "catalog_c",
     "requests",
-    everything=" UNION ALL ".join(f"SELECT '{c}' AS catalog, {i} AS place, barcode, name, ordinal FROM catalog_{c}" for i, c in enumerate("abc")),
+    everything=" UNION ALL ".join(f"SELECT '{c}' AS catalog, {i} AS place, unnest([barcode, alt_code]) AS code, name, ordinal FROM catalog_{c}" for i, c in enumerate("abc")),
     ranked="""SELECT r.code, r.hint, e.catalog, e.name, row_number() OVER (PARTITION BY r.code, r.hint
         ORDER BY CASE WHEN e.catalog = r.hint THEN 0 ELSE 1 END, e.place, e.ordinal) AS rn
-      FROM (SELECT DISTINCT code, hint FROM requests) r LEFT JOIN everything e ON e.barcode = r.code""",
+      FROM (SELECT DISTINCT code, hint FROM requests) r LEFT JOIN everything e ON e.code = r.code""",
 ) + """
 SELECT r.order_key, r.line_no, r.code, r.hint, coalesce(k.catalog, '') AS catalog, coalesce(k.name, '') AS name
 FROM requests r JOIN ranked k USING (code, hint) WHERE rn = 1
@@ -555,6 +555,14 @@ SELECT ordinal, CASE WHEN ordinal % 6 = 0 THEN '' ELSE
   rtrim(repeat('It''s the ' || p_name || ' of the <' || p_type || '> line &amp; more. ', 4)) || chr(10) || chr(10) || 'End' || ordinal END AS block
 FROM page_rows
 """
+ORACLES["best_description"] = ctes("products", page_rows=PAGE_ROWS) + """
+SELECT ordinal, CASE WHEN ordinal % 6 = 0 THEN rtrim(repeat('A told text of ' || name || '. ', 8)) ELSE
+  rtrim(repeat('It''s the ' || p_name || ' of the <' || p_type || '> line &amp; more. ', 4)) || chr(10) || chr(10) || 'End' || ordinal END AS description
+FROM page_rows
+"""
+ORACLES["page_subtitle"] = """
+SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'The subtitle of page ' || p_partkey END AS subtitle FROM part
+"""
 ORACLES["extraction_coverage"] = ctes("products", page_rows=PAGE_ROWS, records=RECORDS) + """
 SELECT section, count(*) AS n, count(*) AS with_name, count(*) AS with_description, count(*) AS with_image,
   count(*) FILTER (sku <> '') AS with_sku FROM records GROUP BY section
@@ -570,10 +578,14 @@ def decoded(col: str) -> str:
 ORACLES["page_links"] = ctes(
     parts=URL_PARTS,
     links=f"""SELECT DISTINCT page_id, host, regexp_extract(url, '^https?://[^/?#]+') || {decoded('href')} AS link
-      FROM (SELECT page_id, host, url, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"''#]+)["'']', 1)) AS href FROM parts) t""",
-    slugs="SELECT *, list_filter(string_split(regexp_replace(lower(link), '^https?://[^/]+', ''), '/'), lambda s: s <> '') AS segs2 FROM links",
+      FROM (SELECT page_id, host, url, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"''#]+)["'']', 1)) AS href FROM parts) t
+      UNION SELECT page_id, host, regexp_extract(url, '^https?://[^?#]+') || '?page=' || page_id % 3 FROM parts
+      UNION SELECT page_id, host, CASE WHEN regexp_matches(bare, '^https?://[^/]+/[^/]*$') THEN regexp_extract(bare, '^https?://[^/]+/')
+        ELSE regexp_replace(bare, '[^/]+/[^/]*$', '') END || 'up/x' FROM (SELECT *, regexp_extract(url, '^https?://[^?#]+') AS bare FROM parts) b
+      UNION SELECT page_id, host, regexp_replace(regexp_extract(url, '^https?://[^?#]+'), '[^/]*$', '') || 'there' FROM parts""",
+    slugs="SELECT *, list_filter(string_split(regexp_replace(regexp_replace(lower(link), '^https?://[^/]+', ''), '[?#].*$', ''), '/'), lambda s: s <> '') AS segs2 FROM links",
 ) + rf"""
-SELECT page_id, host, link, false AS is_paged, CASE
+SELECT page_id, host, link, regexp_matches(link, '[?&](p|page)=\d+') AS is_paged, CASE
   WHEN regexp_matches(lower(link), 'sitemap|robots|\.xml(\?|$)') THEN 'machine'
   WHEN regexp_matches(lower(link), '/({'|'.join(REJECTED)})(/|$)') THEN 'rejected'
   WHEN len(segs2) < 1 THEN 'shallow'

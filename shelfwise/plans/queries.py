@@ -215,7 +215,7 @@ def variant_lookup(spark, sf):
 
 @query
 def resolve_priority(spark, sf):
-    catalogs = {c: table(spark, sf, f"catalog_{c}").withColumnRenamed("barcode", "code") for c in "abc"}
+    catalogs = {c: with_variants(table(spark, sf, f"catalog_{c}")).withColumnRenamed("barcode", "code") for c in "abc"}
     found = L.resolve(table(spark, sf, "requests"), catalogs, "code", "hint", ["order_key", "line_no"], ["name"])
     return found.select(
         "order_key", "line_no", "code", "hint", F.coalesce("catalog", F.lit("")).alias("catalog"), F.coalesce("name", F.lit("")).alias("name")
@@ -595,6 +595,40 @@ def longest_block(spark, sf):
     return H.with_longest_block(product_pages(spark, sf), "html").select("ordinal", F.coalesce("block", F.lit("")).alias("block"))
 
 
+@query
+def best_description(spark, sf):
+    """Containers against the description of a second JSON-LD block, which every sixth page has."""
+    told = F.concat(
+        F.lit('<script type="application/ld+json">{"@graph": [{"@graph": [{"@type": "Product", "description": "'),
+        F.repeat(F.concat(F.lit("A <b>told</b> text of "), F.col("name"), F.lit(". ")), 8), F.lit('"}]}]}</script>'),
+    )
+    names = table(spark, sf, "page_products").select("ordinal", "name")
+    pages = product_pages(spark, sf).join(names, "ordinal")
+    pages = pages.withColumn("html", F.when(F.col("ordinal") % 6 == 0, F.concat("html", told)).otherwise(F.col("html")))
+    return H.with_best_description(pages, "html").select("ordinal", F.coalesce("description", F.lit("")).alias("description"))
+
+
+SUBTITLE_PAGES = (
+    '<h4 class="x sub-title">{}</h4>',
+    '<div class="woocommerce-product-details__short-description">{}</div>',
+    '<div class="summary entry-summary"><span>no</span><p>{}</p></div>',
+    '<p class="product-tagline">{}</p>',
+    "<h1>T</h1> <h2>{}</h2>",
+    "<h1>T</h1><i>x</i><p> <strong>{}</strong> </p>",
+    '<h2 class="elementor-heading-title">{}</h2>',
+)
+
+
+@query
+def page_subtitle(spark, sf):
+    k = F.col("ordinal")
+    text = F.when(k % 5 == 0, F.lit("too short")).otherwise(F.concat(F.lit("The  subtitle of &#112;age "), k.cast("string")))
+    shapes = F.array(*(F.lit(s) for s in SUBTITLE_PAGES))
+    html = F.replace(F.element_at(shapes, (k % len(SUBTITLE_PAGES) + 1).cast("int")), F.lit("{}"), text)
+    pages = table(spark, sf, "page_products").select("ordinal", html.alias("html"))
+    return pages.select("ordinal", F.coalesce(H.subtitle(F.col("html")), F.lit("")).alias("subtitle"))
+
+
 @query
 def extraction_coverage(spark, sf):
     return P.coverage(P.page_records(product_pages(spark, sf), "Shelf Site"))
@@ -602,7 +636,9 @@ def extraction_coverage(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return P.page_links(read(spark, sf, "pages", heavy=True), "page_id").select("page_id", "host", "link", "is_paged", "verdict")
+    more = F.concat(F.lit('<a href="?page='), (F.col("page_id") % 3).cast("string"), F.lit('">2</a><a href="../up/./x">up</a><a href="./here/../there">t</a>'))
+    pages = read(spark, sf, "pages", heavy=True).withColumn("html", F.concat("html", more))
+    return P.page_links(pages, "page_id").select("page_id", "host", "link", "is_paged", "verdict")
 
 
 @query

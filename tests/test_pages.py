@@ -90,3 +90,63 @@ def test_resolve_links(spark):
     df = spark.createDataFrame([(1, "https://x.gr/dir/page.html?q=1", page)], "id long, url string, html string")
     got = {(r.link, r.is_paged) for r in P.page_links(df, "id").collect()}
     assert got == {("https://x.gr/a?page=2", True), ("https://x.gr/dir/b.html", False), ("https://x.gr/c", False)}
+
+
+def test_jsonld_goes_block_by_block_and_into_nested_graphs(spark):
+    first = '{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"own"}]}'
+    page = f'<script type="application/ld+json">{first}</script><script type="application/ld+json">{{"@type":"Product","name":"related"}}</script>'
+    df = spark.createDataFrame([(page,)], "html string")
+    assert H.with_jsonld(df, "html").first().ld.name == "own"
+    assert ld(spark, '{"@graph":[{"@graph":[{"@graph":[{"@type":"Product","name":"deep"}]}]}]}').name == "deep"
+    assert ld(spark, '[{"@graph":[{"@type":"Product","name":"inner"}]},{"@type":"Product","name":"top"}]').name == "top"
+
+
+def test_long_and_astral_entities(spark):
+    assert one(spark, "&#000064;&#128512;&#x1F600;&#x0000041;", H.decode_entities) == "@😀😀A"
+    assert one(spark, "&#55296;&#x110000;&#99999999999;", H.decode_entities) == "&#55296;&#x110000;&#99999999999;"
+
+
+def test_every_container_is_found(spark):
+    text = "word " * 30
+    shapes = [
+        f'<div class="product-text"> <div class="text">{text}</div> </div>',
+        f'<div class="product-text"><b>{text}</b></div></div>',
+        f'<div class="strong-desc">{text}</div>',
+        f'<div class="panel woocommerce-Tabs-panel--description">{text}</div></div>',
+        f'<div id="tab-description">{text}</div><footer>',
+        f'<div class="woocommerce-product-details__short-description">{text}</div>',
+        f'<div itemprop="description">{text}</div> <section>',
+        f'<div class="elementor-widget-text-editor">{text}</div></div>',
+        f'<article><div class="entry-content">{text}</div></article>',
+        f'<section class="product-description">{text}</section>',
+        f"<h2>Περιγραφή</h2>{text}<h2>",
+    ]
+    df = spark.createDataFrame([(s,) for s in shapes], "html string")
+    assert [r.block for r in H.with_longest_block(df, "html").collect()] == [text.strip()] * len(shapes)
+    assert len(H.BLOCK_PATTERNS) == len(shapes)
+
+
+def test_longer_description_wins_and_json_on_a_tie(spark):
+    def page(block, told):
+        return f'<div class="strong-desc">{block}</div><script type="application/ld+json">{{"@type":"Product","description":"{told}"}}</script>'
+
+    a, b = "word " * 30, "text " * 30
+    df = spark.createDataFrame([(page(a, b),), (page(a + "x", b),), (page("short", b),), (page("s", "t"),), ("",)], "html string")
+    got = [r.description for r in H.with_best_description(df, "html").collect()]
+    assert got == [b.strip(), a + "x", b.strip(), None, None]
+
+
+def test_relative_links(spark):
+    base = "https://h.example/list/a.html?x=1#f"
+    hrefs = {
+        "?page=2": "https://h.example/list/a.html?page=2",
+        "../b/./c.html": "https://h.example/b/c.html",
+        "./d?y=../z": "https://h.example/list/d?y=../z",
+        "../../../e/..": "https://h.example/",
+        "/f/../g/.": "https://h.example/g/",
+        "//other.example/h": "https://other.example/h",
+        "mailto:x@y": None,
+        "..": "https://h.example/",
+    }
+    df = spark.createDataFrame([(h, base) for h in hrefs], "h string, b string")
+    assert [r[0] for r in df.select(U.resolve(F.col("h"), F.col("b"))).collect()] == list(hrefs.values())
