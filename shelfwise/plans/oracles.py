@@ -613,5 +613,5 @@ SELECT host, coalesce(segs[1], 'diafora') AS section, count(*) AS n,
 """
 ORACLES["incremental_ingest"] = ctes(parts=URL_PARTS) + """
 SELECT page_id, host, url, nullif(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1), '') AS title, length(html) AS size
-FROM parts QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1
+FROM parts QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 2, page_id) = 1
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,14 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    If it is unset, a local session gets a folder of its own, once; on a cluster
+    It is taken as it is: a ``file:`` path may be a mount that all machines have. If
+    it is unset, a local session gets a folder of its own, once; on a cluster
     a machine-local folder would lose data, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = context.applicationId
         if app not in _LOCAL_DIRS:

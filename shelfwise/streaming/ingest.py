@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from shelfwise.plans.skew import is_small, top_n
 
+#: Parts of the store by a hash of the key; a batch reads those that its keys fall into.
+BUCKETS = 64
+
 
 def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
     try:
@@ -34,20 +37,25 @@ def ingest(
 
     A batch owns one ``batch_id`` folder and overwrites it when it is replayed,
     and it compares only with folders of earlier batches; so a run that dies and
-    starts again leaves the same store.
+    starts again leaves the same store. Folders are cut into ``BUCKETS`` by a hash of
+    the key; only buckets with fresh keys are read. ``extract`` must keep the key.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = top_n(batch, [key], [F.col(order)]).persist()
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        fresh = top_n(batch, [key], [F.col(order)]).withColumn("bucket", bucket).persist()
         known = _stored(batch.sparkSession, store, batch_id)
         new = fresh
         if known is not None:
-            keys = known.select(key)
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
+            keys = known.where(F.col("bucket").isin(touched)).select("bucket", key)
             if is_small(fresh):
-                # scan the store's keys in place instead of shuffling all of them
-                keys = keys.join(F.broadcast(fresh.select(key)), key, "left_semi")
-            new = fresh.join(keys, key, "left_anti")
-        extract(new).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+                # scan the touched buckets' keys in place instead of shuffling them
+                keys = keys.join(F.broadcast(fresh.select("bucket", key)), ["bucket", key], "left_semi")
+            new = fresh.join(keys, ["bucket", key], "left_anti")
+        # one file per bucket and batch, however many tasks there are
+        rows = extract(new.drop("bucket")).withColumn("bucket", bucket).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
         fresh.unpersist()
 
     query = (

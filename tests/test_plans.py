@@ -186,5 +186,6 @@ def test_shared_folder():
     assert shared_dir(FakeSession("spark://host", "hdfs://shared/")) == "hdfs://shared"
     local = FakeSession("local[2]")
     assert shared_dir(local) == shared_dir(local) and run_dir(local, "a") != run_dir(local, "a")
-    with pytest.raises(ValueError):
-        shared_dir(FakeSession("spark://host"))
+    for master in ("spark://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(FakeSession(master))
