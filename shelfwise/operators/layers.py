@@ -72,8 +72,8 @@ def cascade_records(
 def with_dim(
     df: DataFrame, dim: DataFrame, key: str, label: str, default: Column, spread: str = "ordinal"
 ) -> DataFrame:
-    """Label of a dimension row, or the default."""
-    return small_lookup(df, dim, key, spread).withColumn(label, F.coalesce(F.col(label), default))
+    """Label of a dimension row, or the default. Only key and label are joined."""
+    return small_lookup(df, dim.select(key, label), key, spread).withColumn(label, F.coalesce(F.col(label), default))
 
 
 def used_dims(dim: DataFrame, df: DataFrame, key: str) -> DataFrame:
