@@ -1,16 +1,16 @@
-"""Encoding by distinct pieces with a tokenizers file whose pre-tokens hold no white space.
+"""Encoding by distinct pieces: a tokenizer is asked once per piece, a task keeps what it has seen.
 
-The library is asked once per distinct piece; a task keeps what it has seen. Pieces
-are cut only where the tokenizer itself always cuts: before and after an ASCII space or
-line feed, and between a letter and an ASCII character that is none. So joining the
-pieces' ids gives exactly the ids of the text. Texts that hold a special token's string
-are given to the library whole.
+Pieces are cut only where the tokenizer itself always cuts, so joining their ids gives
+exactly the ids of the text. For a tokenizers file whose pre-tokens hold no white space
+that is before and after an ASCII space or line feed, and between a letter and an ASCII
+character that is none; texts that hold a special token's string are given to the
+library whole.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,8 @@ from pyspark.sql import SparkSession
 
 from .words import SLICE, Text, texts
 
-#: Distinct pieces that a task keeps, and bytes of the longest piece kept.
-KEEP, LONGEST = 1_500_000, 256
-JOINED = 512
+#: Distinct pieces that a task keeps, and pieces per call.
+KEEP, JOINED = 1_500_000, 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[10, 32]] = True
@@ -45,6 +44,46 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pieces:
+    """What a task knows of distinct pieces: their ids and some flags.
+
+    ``encode`` takes pieces and tells for each its number of ids, all ids in order,
+    and one row of flags.
+    """
+
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.ask = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.ids, self.starts, self.flags = np.zeros(0, np.uint32), np.zeros(1, np.int64), None
+
+    def find(self, hashes: np.ndarray, piece: Callable[[int], object]) -> np.ndarray:
+        """Number of each piece by its hash; ``piece(i)`` gives what to encode for entry ``i``."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.index) > KEEP:
+            self.clear()
+        named = distinct.tolist()
+        new = [i for i, h in enumerate(named) if h not in self.index]
+        if new:
+            n, ids, flags = self.ask([piece(i) for i in first[new].tolist()])
+            known = len(self.index)
+            self.index.update(zip((named[i] for i in new), range(known, known + len(new))))
+            self.ids = np.concatenate((self.ids, ids))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(n)))
+            self.flags = flags if self.flags is None else np.concatenate((self.flags, flags))
+        return np.fromiter((self.index[h] for h in named), np.int64, len(named))[inverse]
+
+    def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids in order."""
+        n = self.starts[place + 1] - self.starts[place]
+        if not len(n):
+            return n, self.ids[:0]
+        skip = np.repeat(self.starts[place] - (np.cumsum(n) - n), n)
+        return n, self.ids[skip + np.arange(int(n.sum()))]
+
+
 class WordEncoder:
     """Holds a tokenizer file, checked to be one that this way of encoding is exact for."""
 
@@ -80,30 +119,20 @@ class Encoder:
         self.special = [s.lower().encode() for s in special]
         self.separator = special[0]
         self.mark = self.tokenizer.token_to_id(self.separator)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.pool, self.starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.pieces = Pieces(self.learn)
 
     def whole(self, rows: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
 
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encodes new pieces, several per call with a special token between two of them."""
-        known = len(self.index)
         lengths, ids = [], []
         for at in range(0, len(pieces), JOINED):
-            some = pieces[at : at + JOINED]
-            found = np.array(self.tokenizer.encode_batch_fast([self.separator.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            (found,) = self.whole([self.separator.join(pieces[at : at + JOINED])])
             ends = np.append(np.flatnonzero(found == self.mark), len(found))
             lengths.append(np.diff(np.concatenate(([-1], ends))) - 1)
             ids.append(found[found != self.mark])
-        for i, h in enumerate(hashes):
-            self.index[h] = known + i
-        total = np.concatenate(lengths)
-        self.pool = [np.concatenate((*self.pool, *ids))]
-        self.starts = [np.concatenate((self.starts[0], self.starts[0][-1] + np.cumsum(total)))]
+        return np.concatenate(lengths), np.concatenate(ids), np.zeros((len(pieces), 0), bool)
 
     def slice(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """Tokens per row, and the ids of all rows in order."""
@@ -111,25 +140,13 @@ class Encoder:
         begin = cuts(data)
         begin[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(begin)
-        end = np.append(start[1:], len(data))
-        full = ~(_SPACE[data[start]] & (end - start == 1)) if len(start) else np.zeros(0, bool)
+        end = np.append(start[1:], len(data))[: len(start)]
+        full = ~(_SPACE[data[start]] & (end - start == 1))
         start, end = start[full], end[full]
+        place = self.pieces.find(text.hashes(start, end), lambda i: text.string(start[i], end[i]))
+        n, ids = self.pieces.joined(place)
         row = np.searchsorted(offsets, start, "right") - 1
-        hashes = text.hashes(start, end) * np.uint64(2) + (end - start > LONGEST)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) > KEEP:
-            self.clear()
-        named = distinct.tolist()
-        new = [i for i, h in enumerate(named) if h not in self.index]
-        if new:
-            spans = first[new]
-            pieces = [text.string(a, b) for a, b in zip(start[spans].tolist(), end[spans].tolist())]
-            self.learn([named[i] for i in new], pieces)
-        place = np.fromiter((self.index[h] for h in named), np.int64, len(named))[inverse]
-        starts = self.starts[0]
-        n = starts[place + 1] - starts[place]
-        out = np.repeat(starts[place] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(int(n.sum()))
-        return np.bincount(row, n, text.rows).astype(np.int64), self.pool[0][out]
+        return np.bincount(row, n, text.rows).astype(np.int64), ids
 
     def encode(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, tokens per row (with the end id) and ids, for one slice of rows after the other."""

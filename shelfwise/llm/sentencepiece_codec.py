@@ -6,6 +6,8 @@ scores or merges in the order of the pieces' scores, byte fallback, and the deco
 Tasks get that pipeline and the model as two broadcast blobs, encode batches with
 several threads, and compare each result with the original library's. A text for which
 the two differ gets the original's ids and ``parity`` false, so ids are always right.
+If no piece of the model goes on after the end of a word, words are encoded and compared
+once per task and joined; other models encode whole texts.
 
 Null texts count as empty and have no ids. ``round_trip`` tells whether decoding gives
 the text back; it is false where the model's normaliser changes the text, and for texts
@@ -18,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .pieces import Pieces
 from .words import texts
 
 MARK = "▁"
@@ -92,6 +96,17 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+def words_apart(spec: dict) -> bool:
+    """Whether no piece holds the end of a word and the marker of the next."""
+    return all(MARK not in p.lstrip(MARK) for p, _, kind in spec["pieces"] if kind in (NORMAL, USER))
+
+
+def by_words(spec: dict) -> bool:
+    """Whether the ids of a text are those of its words, one after the other."""
+    plain = not spec["charsmap"] and not spec["squeeze"] and spec["byte_fallback"]
+    return plain and words_apart(spec) and all(kind != USER for _, _, kind in spec["pieces"])
+
+
 def build(model: bytes):
     """The tokenizers pipeline of a SentencePiece model."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -114,8 +129,7 @@ def build(model: bytes):
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     steps += [normalizers.Prepend(" ")] if spec["prefix"] else []
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    words_apart = all(MARK not in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER))
-    if words_apart:  # no piece crosses into the next word, so words can be looked up one by one
+    if words_apart(spec):  # no piece crosses into the next word, so words can be looked up one by one
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in pieces if kind == USER])
     tokenizer.decoder = decoders.Sequence(
@@ -124,18 +138,64 @@ def build(model: bytes):
     return tokenizer
 
 
-_cache: dict[int, tuple] = {}
-
+class Codec:
+    """Both libraries' forms of a model; what a task knows of its words."""
 
-def _ready(blob: tuple[str, bytes]):
-    """Both libraries' forms of the model, once per worker."""
-    key = zlib.crc32(blob[1])
-    if key not in _cache:
+    def __init__(self, blob: tuple[str, bytes], threads: int):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.tokenizer, self.threads = Tokenizer.from_str(blob[0]), threads
+        self.original = sentencepiece.SentencePieceProcessor(model_proto=blob[1])
+        spec = parse(blob[1])
+        self.prefix, self.by_words, self.words = spec["prefix"], by_words(spec), Pieces(self.compared)
+
+    def compared(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and ids as the original library gives them; whether the other agrees, and whether they decode to the text."""
+        ids = self.original.encode(own, num_threads=self.threads)
+        agree = [e.ids == x for e, x in zip(self.tokenizer.encode_batch_fast(own, add_special_tokens=False), ids)]
+        back = [a == b for a, b in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), own)]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        return lengths, flat, np.array((agree, back)).T
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First row, ids per row, all ids and flags per row, for one slice of rows after the other."""
+        for text in texts(column, lower=False):
+            if not self.by_words:
+                yield text.first, *self.compared(column.slice(text.first, text.rows).to_pylist())
+                continue
+            space = text.data == 32
+            begin = space.copy()
+            begin[1:] &= ~space[:-1]
+            ends = text.offsets[1:][np.diff(text.offsets) > 0]
+            begin[ends - 1] = False  # a single space at the end stays with its word: alone it would be no text
+            heads = text.offsets[:-1][np.diff(text.offsets) > 0]
+            begin[heads] = True
+            start = np.flatnonzero(begin)
+            end = np.append(start[1:], len(text.data))[: len(start)]
+            first = np.isin(start, heads, assume_unique=True)
+            # the libraries put a marker before what they get: a later word brings its own
+            skip = np.where(first | (not self.prefix), 0, 1)
+            place = self.words.find(text.hashes(start, end) << np.uint64(1) | first.astype(np.uint64), lambda i: text.string(start[i] + skip[i], end[i]))
+            n, ids = self.words.joined(place)
+            row = np.searchsorted(text.offsets, start, "right") - 1
+            flags = np.ones((text.rows, 2), bool)
+            if len(place):
+                flags[:] = np.stack([np.bincount(row, ~self.words.flags[place, k], text.rows) == 0 for k in (0, 1)], axis=1)
+            yield text.first, np.bincount(row, n, text.rows).astype(np.int64), ids, flags
+
+
+_cache: dict[tuple[int, int], Codec] = {}
+
+
+def _ready(blob: tuple[str, bytes], threads: int) -> Codec:
+    """The model in this worker, made once."""
+    key = zlib.crc32(blob[1]), threads
+    if key not in _cache:
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         _cache.clear()
-        _cache[key] = (Tokenizer.from_str(blob[0]), sentencepiece.SentencePieceProcessor(model_proto=blob[1]))
+        _cache[key] = Codec(blob, threads)
     return _cache[key]
 
 
@@ -153,18 +213,13 @@ def encode(docs: DataFrame, shared, text: str = "text", threads: int = THREADS)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("ids array<int>, parity boolean, round_trip boolean").fields])
 
     def each(batches):
-        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        tokenizer, original = _ready(shared.value)
+        codec = _ready(shared.value, threads)
         for batch in batches:
-            column = batch.column(names.index(text)).fill_null("")
-            for part in texts(column, lower=False):
-                own = column.slice(part.first, part.rows).to_pylist()
-                ids = [e.ids for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-                right = original.encode(own, num_threads=threads)
-                parity = [a == b for a, b in zip(ids, right)]
-                back = tokenizer.decode_batch(right, skip_special_tokens=False)
+            for first, n, ids, flags in codec.encode(batch.column(names.index(text)).fill_null("")):
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(part.first, part.rows).columns, pa.array(right, pa.list_(pa.int32())), pa.array(parity), pa.array([a == b for a, b in zip(own, back)])],
+                    [*batch.slice(first, len(n)).columns, lists, pa.array(flags[:, 0]), pa.array(flags[:, 1])],
                     names=[*names, "ids", "parity", "round_trip"],
                 )
 
@@ -178,7 +233,7 @@ def decode(encoded: DataFrame, shared, ids: str = "ids") -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def each(batches):
-        tokenizer, _ = _ready(shared.value)
+        tokenizer = _ready(shared.value, THREADS).tokenizer
         for batch in batches:
             rows = [x or [] for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokenizer.decode_batch(rows, skip_special_tokens=False), pa.string())], names=[*names, "decoded"])
