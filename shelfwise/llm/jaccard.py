@@ -128,7 +128,8 @@ def forest_links(classes: DataFrame) -> DataFrame:
         near = np.where(first, np.int64(0), np.concatenate((node[:1], node[:-1])))
         yield {"node": node, "prefix": prefix, "rest": rest, "near": pa.array(near, mask=first)}
 
-    sent = arrow_map(classes, each, "node long, prefix long, rest int, near long")
+    # both branches read one written table: a second run could cut its rows into other batches
+    sent = stage(arrow_map(classes, each, "node long, prefix long, rest int, near long"), "labels")
     own = sent.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b"))
     trie = W.Window.partitionBy("prefix").orderBy("rest", "node")
     met = sent.where("near is null").select("node", "prefix", "rest").withColumn("near", F.lag("node").over(trie))

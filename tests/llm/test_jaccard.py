@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import pyarrow as pa
 from llm_cases import awkward, make, prose, words  # noqa: F401
 from shelfwise.llm import jaccard as J
 
@@ -57,3 +59,28 @@ def test_prefix_is_shortened_to_the_target():
     depth = J.shortened()
     assert J.recall(depth) >= J.TARGET > J.recall(depth + 1)
     assert J.shortened(0.5) > depth
+
+
+def test_links_hold_if_batches_differ_between_runs(spark):
+    """Each run of the plan below gives its rows in another order, so cuts them into other batches."""
+
+    def shuffled(batches):
+        rows = pa.Table.from_batches(list(batches))
+        order = list(range(rows.num_rows))
+        random.SystemRandom().shuffle(order)
+        yield from rows.take(pa.array(order)).to_batches()
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = [(i, [i // 2 * 7 + t for t in range(3)], [0, 0, 0]) for i in range(400)]
+        classes = spark.createDataFrame(pairs, "node long, prefix array<long>, rest array<int>").coalesce(1)
+        kept = spark.range(400).withColumnRenamed("id", "node")
+        classes = classes.join(kept, "node", "left_semi").coalesce(1).mapInArrow(shuffled, classes.schema)
+        found = {(max(r.a, r.b), min(r.a, r.b)) for r in J.forest_links(classes).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(i + 1, i) for i in range(0, 400, 2)}
