@@ -100,16 +100,25 @@ class Scanner:
                     else:
                         areas.append([lo, hi])
         for i, areas in near.items():
-            done = -1
+            done = 0
             for lo, hi in areas:
-                for m in self.patterns[i].finditer(text, max(lo, done, 0), min(hi + 1, len(text))):
+                for first, end, edits in self.places(i, text, max(lo, done), min(hi + 1, len(text))):
+                    done = max(done, end)
                     # the pattern may take in a space on either side as an edit
-                    first, end = m.start(), m.end()
                     first, end = first + (text[first : first + 1] == " "), end - (text[end - 1 : end] == " ")
-                    out.append((i, first, end, sum(m.fuzzy_counts)))
-                    done = end
+                    out.append((i, first, end, edits))
         return out
 
+    def places(self, i: int, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(first, end, edits) of all places of a notice between ``lo`` and ``hi``: the best one, then those on either side of it."""
+        out, parts, least = [], [(lo, hi)], len(self.notices[i].text) - self.notices[i].edits
+        while parts:
+            a, b = parts.pop()
+            if b - a >= least and (m := self.patterns[i].search(text, a, b)):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                parts += [(a, m.start()), (m.end(), b)]
+        return sorted(out)
+
 
 def scan(docs: DataFrame, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base (places of base phrases as

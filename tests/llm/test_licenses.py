@@ -52,3 +52,19 @@ def test_pieces_cover_a_notice():
     for notice in L.NOTICES:
         parts = L.seeds(notice)
         assert len(parts) == notice.edits + 1 and "".join(p for _, p in parts) == notice.text and all(len(p) > 4 for _, p in parts)
+
+
+def test_notices_next_to_each_other():
+    scanner = L.Scanner(L.NOTICES)
+    good, bad, worse = "gnu lesser general public license", "gnu leser general public license", "gnu lesr general public license"
+    for order in ([bad, good], [good, bad], [worse, bad, good], [bad, worse, good, worse, bad], [good] * 40 + [bad] + [good] * 40):
+        for gap in (" ", " and "):
+            text = gap.join(order)
+            got = sorted((a, b) for k, a, b, _ in scanner.spans(text) if L.NOTICES[k].label == "lgpl")
+            want, at = [], 0
+            for notice in order:
+                want.append((at, at + len(notice)))
+                at += len(notice) + len(gap)
+            assert got == want, (order, gap)
+    edits = [e for k, _, _, e in scanner.spans(f"{bad} {good}") if L.NOTICES[k].label == "lgpl"]
+    assert edits == [1, 0]
