@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
+from .conversations import op12_conversation_repair
 from .dac import op10_token_files
 from .decontaminate import op7_decontamination
 from .embeddings import op1_embedding_dedup
@@ -11,6 +13,7 @@ from .lines import op4_line_dedup
 from .reputation import ORACLE as OP9_ORACLE
 from .reputation import op9_url_filter
 from .sentencepiece_codec import op2_sentencepiece
+from .spotsigs import op13_spot_fingerprints
 from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_token_files": op10_token_files,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spot_fingerprints": op13_spot_fingerprints,
 }
 
 ORACLES = {"op9_url_filter": OP9_ORACLE}

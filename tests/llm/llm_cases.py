@@ -49,3 +49,14 @@ def make(spark):
         return spark.createDataFrame(rows(pairs), DOCS)
 
     return build
+
+
+@pytest.fixture
+def documents(make, tmp_path):
+    """Writes documents with clashing extra columns and gives the folder that queries take."""
+
+    def build(pairs):
+        make(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+        return str(tmp_path)
+
+    return build
