@@ -8,6 +8,7 @@ does so by product type or size, as a real layer would.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,22 @@ FIXTURES: dict[str, Derived] = {
             f"{SIZE} || case p_partkey % 3 when 0 then 'ml' when 1 then ' gr' else ' x' end",
         },
     ),
+    "described_products": Derived(
+        "part",
+        {
+            "ordinal": "p_partkey",
+            "catalog": "case p_partkey % 4 when 0 then 'sun' when 1 then 'cosmetics' when 2 then 'seasonal' else 'sun' end",
+            "section": "case when p_partkey % 4 = 2 then case p_size % 5 when 0 then 'slimming' when 1 then 'insects' "
+            "when 2 then 'rodents' when 3 then 'travel' end end",
+            "brand": "p_brand",
+            "line": "case when p_partkey % 9 = 0 then '' else p_type end",
+            "title": "p_name || case p_partkey % 13 when 0 then ' Gel-Cream SPF50+' when 1 then ' κρέμα SPF 30 sensitive' "
+            "when 2 then ' lotion kids' when 3 then ' spray SPF20 sport' when 4 then ' anti-spot fluid SPF 50' "
+            "when 5 then ' family milk SPF15' when 6 then ' dry touch gel oil-control SPF 30' when 7 then ' teint cream' "
+            "when 8 then ' wet skin mist SPF 6' when 9 then ' anti-age serum' else '' end || ' ' || "
+            f"{SIZE} || case p_partkey % 3 when 0 then 'ml' when 1 then ' gr' else ' x' end",
+        },
+    ),
     "override_layer": Derived(
         "part",
         {
@@ -286,3 +303,15 @@ def ctes(*names: str, **more: str) -> str:
         parts.append(f"{name} AS ({sql})")
     parts += [f"{name} AS ({sql})" for name, sql in more.items()]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+#: The template table of the queries, kept as data: a header and tab-separated rows, blank for any.
+TEMPLATE_FILE = os.path.join(os.path.dirname(__file__), "line_templates.tsv")
+TEMPLATE_COLUMNS = "catalog string, section string, brand string, line string, attribute string, least double, place int, sentence string"
+
+
+def template_rows() -> list[tuple]:
+    """The rows of the file, a few dozen."""
+    with open(TEMPLATE_FILE, encoding="utf-8") as f:
+        rows = [[x or None for x in line.rstrip("\n").split("\t")] for line in f][1:]
+    return [(*r[:5], None if r[5] is None else float(r[5]), int(r[6]), r[7]) for r in rows]

@@ -8,7 +8,7 @@ from shelfwise.functions.text import ABBREVIATIONS, CONTAINER_CODE, KEPT_CAPITAL
 from shelfwise.functions.urls import REJECTED
 from shelfwise.operators.match import DOSE_STOP_WORDS, SIZE_STOP_WORDS, UNITS
 from shelfwise.operators.rules import EXCLUSION_RULES, SECTION_RULES
-from shelfwise.plans.fixtures import ctes
+from shelfwise.plans.fixtures import ctes, template_rows
 
 ORACLES: dict[str, str] = {}
 
@@ -525,6 +525,30 @@ SELECT ordinal, concat_ws(' ', 'From The ' || brand || '.',
   CASE WHEN list_contains(audience, 'Anti-Aging') THEN 'Acts against ageing.' END) AS description
 FROM attrs
 """
+TEMPLATES = "SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, (int, float)) else lit(x) for x in r) + ")" for r in template_rows()
+) + ") t (catalog, section, brand, line, attribute, least, place, sentence)"
+PUT_IN = "sentence"
+for _name in ("brand", "line", "section", "spf", "volume", "types"):
+    PUT_IN = f"CASE WHEN contains(sentence, '{{{_name}}}') THEN replace({PUT_IN}, '{{{_name}}}', nullif(trim(v_{_name}), '')) ELSE {PUT_IN} END"
+ORACLES["line_descriptions"] = ctes(
+    "described_products",
+    attrs=f"""SELECT ordinal, catalog, section, brand, line, regexp_extract(title, '(?i)SPF\\s*(\\d+\\+?)', 1) AS v_spf,
+  regexp_extract(title, {lit(VOLUME)}, 1) || lower(regexp_extract(title, {lit(VOLUME)}, 2)) AS v_volume, brand AS v_brand, line AS v_line, section AS v_section,
+  lower(array_to_string({label_list(TYPE_LABELS)}, ' / ')) AS v_types, {label_list(AUDIENCE_LABELS)} AS labels FROM described_products""",
+    templates=TEMPLATES,
+) + f"""
+, fits AS (SELECT a.ordinal, place, {PUT_IN} AS said,
+    (t.catalog IS NOT NULL)::int + (t.section IS NOT NULL)::int + (t.brand IS NOT NULL)::int + (t.line IS NOT NULL)::int + (attribute IS NOT NULL)::int AS n_set,
+    least, length(sentence) - length(replace(sentence, '{{', '')) AS n_named
+  FROM attrs a JOIN templates t ON (t.catalog IS NULL OR t.catalog = a.catalog) AND (t.section IS NULL OR t.section = a.section)
+    AND (t.brand IS NULL OR t.brand = a.brand) AND (t.line IS NULL OR t.line = a.line) AND (attribute IS NULL OR list_contains(labels, attribute))
+    AND (least IS NULL OR try_cast(replace(v_spf, '+', '') AS double) >= least)),
+best AS (SELECT ordinal, place, said, row_number() OVER (PARTITION BY ordinal, place ORDER BY n_set DESC, least DESC NULLS LAST, n_named DESC, said) AS r
+  FROM fits WHERE said IS NOT NULL)
+SELECT p.ordinal, coalesce(string_agg(said, ' ' ORDER BY place), '') AS description
+FROM described_products p LEFT JOIN best b ON b.ordinal = p.ordinal AND r = 1 GROUP BY p.ordinal
+"""
 ORACLES["token_df"] = ctes("supplier_list") + f"""
 SELECT token, count(*) AS df FROM (SELECT unnest({token_list('name', SIZE_STOP_WORDS)}) AS token FROM supplier_list) t GROUP BY token
 """

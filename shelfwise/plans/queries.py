@@ -20,7 +20,8 @@ from shelfwise.operators import pages as P
 from shelfwise.operators import quality as Q
 from shelfwise.operators import rules as R
 from shelfwise.operators import serve as S
-from shelfwise.plans.fixtures import FILLER, read, table, with_variants
+from shelfwise.operators.templates import describe_by_templates
+from shelfwise.plans.fixtures import FILLER, TEMPLATE_COLUMNS, read, table, template_rows, with_variants
 from shelfwise.plans.skew import compute_once
 from shelfwise.session import run_dir
 from shelfwise.sources import io
@@ -510,6 +511,19 @@ def template_text(spark, sf):
     return df.select("ordinal", text.alias("description"))
 
 
+@query
+def line_descriptions(spark, sf):
+    """Sun care, cosmetics and seasonal products described by one table of templates."""
+    rules = spark.createDataFrame(template_rows(), TEMPLATE_COLUMNS)
+    df = table(spark, sf, "described_products", heavy=True)
+    facts = attributes(F.col("title"))
+    level = F.regexp_extract(facts["spf"], r"^(\d+)", 1).try_cast("double")
+    types = F.lower(F.array_join(facts["types"], " / "))
+    df = df.select("ordinal", "catalog", "section", "brand", "line", facts["audience"].alias("labels"), level.alias("level"), facts["spf"].alias("spf"), facts["volume"].alias("volume"), types.alias("types"))
+    values = {c: c for c in ("brand", "line", "section", "spf", "volume", "types")}
+    return describe_by_templates(df, rules, "ordinal", ["catalog", "section", "brand", "line"], "labels", "level", values)
+
+
 @query
 def token_df(spark, sf):
     return M.token_frequencies(table(spark, sf, "supplier_list", heavy=True), "name", M.BY_SIZE.stop_words)
