@@ -88,32 +88,34 @@ JSONLD_BLOCK = r"(?s)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)<
 _FIELDS = "name string, description string, image string, sku string, mpn string, gtin13 string, gtin12 string, gtin string"
 _LEAF = f"struct<`@type`: string, {_FIELDS.replace(' string', ': string')}>"
 PRODUCT_TYPE = r'^(?:Product$|\[.*"Product")'
-#: Graphs within graphs that are followed.
-GRAPH_LEVELS = 3
-
-
-def _node(level: int) -> str:
-    return _LEAF if not level else _LEAF[:-1] + f", `@graph`: array<{_node(level - 1)}>>"
+#: A node whose graph is still text, so graphs may be nested to any depth.
+_NODES = f"array<{_LEAF[:-1]}, `@graph`: string>>"
 
 
 def jsonld_nodes(html: Column) -> Column:
-    """All JSON-LD nodes: block by block, in each the top level, then its graphs,
-    then the graphs within these. Broken blocks are skipped."""
+    """All JSON-LD nodes: block by block, in each the top level, then its graphs, then the
+    graphs within these, however deep. Broken blocks and graphs are skipped."""
     blocks = F.regexp_extract_all(html, F.lit(regex(JSONLD_BLOCK)), F.lit(1))
 
-    def levels(nodes: Column, level: int) -> list[Column]:
-        if not level:
-            return [nodes]
-        empty = F.array().cast(f"array<{_node(level - 1)}>")
-        inner = F.flatten(F.transform(nodes, lambda n: F.coalesce(n["@graph"], empty)))
-        return [F.transform(nodes, lambda n: n.dropFields("`@graph`")), *levels(inner, level - 1)]
+    def read(text: Column) -> Column:
+        return F.coalesce(F.from_json(F.trim(text), _NODES), F.array().cast(_NODES))
+
+    def deeper(found: Column, _: Column) -> Column:
+        # parsed nodes are an array of one, so that they are named and read once
+        level = F.array(F.flatten(F.transform(found["graphs"], read)))
+        step = lambda nodes: F.struct(
+            F.concat(found["nodes"], F.transform(nodes, lambda n: n.dropFields("`@graph`"))).alias("nodes"),
+            F.array_compact(F.transform(nodes, lambda n: n["@graph"])).alias("graphs"),
+        )
+        return F.get(F.transform(level, step), F.lit(0))
 
     def of_block(block: Column) -> Column:
-        none = F.array().cast(f"array<{_node(GRAPH_LEVELS)}>")
-        return F.coalesce(F.from_json(F.trim(block), f"array<{_node(GRAPH_LEVELS)}>"), none)
+        # no graph is deeper than the word occurs
+        depth = F.sequence(F.lit(0), F.regexp_count(block, F.lit('"@graph"')))
+        start = F.struct(F.array().cast(f"array<{_LEAF}>").alias("nodes"), F.array(block).alias("graphs"))
+        return F.aggregate(depth, start, deeper, lambda found: found["nodes"])
 
-    # a parsed block is an array of one, so that it is named and read once
-    return F.flatten(F.flatten(F.transform(blocks, lambda b: F.transform(F.array(of_block(b)), lambda t: F.concat(*levels(t, GRAPH_LEVELS))))))
+    return F.flatten(F.transform(blocks, of_block))
 
 
 def with_jsonld(df: DataFrame, html: str, out: str = "ld") -> DataFrame:

@@ -92,17 +92,27 @@ def _without_dots(url: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.array_append(acc, s)),
     )
-    return F.when(rest.rlike(r"/\.{1,2}(?:/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), query)).otherwise(url)
+    worked_out = F.when(rest.rlike(r"/\.{1,2}(?:/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), query)).otherwise(url)
+    return F.when(url.contains("/."), worked_out).otherwise(url)  # nearly no link has any
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of a link found on page ``base``, without its fragment: a mere
-    query keeps the page's path, and ``.`` and ``..`` are worked out."""
+def base_parts(base: Column) -> dict[str, Column]:
+    """What links on page ``base`` are resolved against: the page, its scheme, origin and folder."""
     page = F.regexp_replace(base, r"[?#].*$", "")
-    scheme = F.regexp_extract(base, r"^(https?):", 1)
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(https?://[^/]+(?:/.*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    folder = F.regexp_extract(page, r"^(https?://[^/]+(?:/.*/|/)?)", 1)
+    return {
+        "page": page,
+        "scheme": F.regexp_extract(base, r"^(https?):", 1),
+        "origin": F.regexp_extract(base, r"^(https?://[^/?#]+)", 1),
+        "folder": F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))),
+    }
+
+
+def resolve(href: Column, base: Column, parts: dict[str, Column] | None = None) -> Column:
+    """Absolute form of a link found on page ``base``, without its fragment: a mere
+    query keeps the page's path, and ``.`` and ``..`` are worked out. ``parts``: the
+    page's, if they have been computed."""
+    page, scheme, origin, folder = (parts or base_parts(base)).values()
     full = (
         F.when(href.rlike("^(?i)https?://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))

@@ -57,9 +57,12 @@ def coverage(records: DataFrame, section: str = "section") -> DataFrame:
 def page_links(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
     """Distinct same-host links per page; made distinct inside the row, no shuffle.
     Links that carry a fragment are jumps inside a page and are not taken."""
-    found = F.transform(H.hrefs(F.col(html)), lambda h: U.resolve(H.decode_entities(h), F.col(url)))
+    parts = U.base_parts(F.col(url))
+    based = compute_once(pages, **{f"_{name}": c for name, c in parts.items()})  # once per page, not per link
+    known = {name: F.col(f"_{name}") for name in parts}
+    found = F.transform(H.hrefs(F.col(html)), lambda h: U.resolve(H.decode_entities(h), F.col(url), known))
     links = F.array_distinct(F.filter(found, lambda u: u.isNotNull()))
-    rows = compute_once(pages, _links=links).select(key, U.host(F.col(url)).alias("host"), F.explode("_links").alias("link"))
+    rows = compute_once(based, _links=links).select(key, U.host(F.col(url)).alias("host"), F.explode("_links").alias("link"))
     return rows.where(U.host(F.col("link")) == F.col("host")).select(
         key, "host", "link", U.is_paged(F.col("link")).alias("is_paged"), U.product_url_verdict(F.col("link")).alias("verdict")
     )

@@ -592,6 +592,18 @@ SELECT section, count(*) AS n, count(*) AS with_name, count(*) AS with_descripti
   count(*) FILTER (sku <> '') AS with_sku FROM records GROUP BY section
 """
 
+SITE_RECORDS = """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'Item ' || page_id ELSE '' END AS name,
+  CASE WHEN page_id % 3 = 1 THEN 'Told of ' || page_id || ' & more' ELSE '' END AS description,
+  (page_id % 3 = 0)::int + (page_id % 2 = 0)::int AS n_skus, coalesce(segs[1], 'diafora') AS section,
+  CASE WHEN page_id % 3 = 0 THEN 'S-' || page_id WHEN page_id % 2 = 0 THEN 'W-' || page_id ELSE '' END AS sku,
+  CASE WHEN page_id % 3 = 0 THEN lpad(cast(page_id AS varchar), 13, '0') ELSE '' END AS gtin FROM parts"""
+ORACLES["site_records"] = ctes(parts=URL_PARTS) + SITE_RECORDS
+ORACLES["site_coverage"] = ctes(parts=URL_PARTS, records=SITE_RECORDS) + """
+SELECT section, count(*) AS n, count(*) FILTER (name <> '') AS with_name, count(*) FILTER (description <> '') AS with_description,
+  0::bigint AS with_image, count(*) FILTER (sku <> '') AS with_sku FROM records GROUP BY section
+"""
+ORACLES["site_blocks"] = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE rtrim(repeat('About item ' || page_id || '. ', 20)) END AS block FROM pages"""
+
 
 def decoded(col: str) -> str:
     for entity, char in ENTITIES:

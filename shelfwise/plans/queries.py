@@ -648,6 +648,40 @@ def extraction_coverage(spark, sf):
     return P.coverage(P.page_records(product_pages(spark, sf), "Shelf Site"))
 
 
+def site_pages(spark, sf):
+    """The given pages, whole, with product markup of several kinds put in front of their bodies."""
+    k = F.col("page_id").cast("string")
+    product = F.concat(F.lit('{"@type": "Product", "name": "Item '), k, F.lit('", "sku": "S-'), k, F.lit('", "gtin13": "'), F.lpad(k, 13, "0"), F.lit('"}'))
+    nested = F.concat(F.lit('<script type="application/ld+json">' + '{"@graph": [{"@type": "WebPage", "name": "no"}, ' * 12), product, F.lit("]}" * 12 + "</script>"))
+    tags = F.concat(F.lit('<meta property="og:title" content="Item '), k, F.lit(' | Shelf Site"><meta name="description" content="Told of '), k, F.lit(' &amp; more">'))
+    code = F.concat(F.lit('<span class="sku">W-'), k, F.lit("</span>"))
+    block = F.concat(F.lit('<section class="product-description"><p>'), F.repeat(F.concat(F.lit("About item "), k, F.lit(". ")), 20), F.lit("</p></section>"))
+    part = F.col("page_id")
+    markup = F.concat(
+        F.when(part % 3 == 0, nested).when(part % 3 == 1, tags).otherwise(F.lit("")),
+        F.when(part % 2 == 0, code).otherwise(F.lit("")),
+        F.when(part % 4 != 0, block).otherwise(F.lit("")),
+    )
+    return read(spark, sf, "pages", heavy=True).select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), markup)).alias("html"))
+
+
+@query
+def site_records(spark, sf):
+    records = P.page_records(site_pages(spark, sf), "Shelf Site")
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("section", "sku", "gtin")]
+    return records.select("page_id", "name", "description", F.size("all_skus").alias("n_skus"), *blank)
+
+
+@query
+def site_coverage(spark, sf):
+    return P.coverage(P.page_records(site_pages(spark, sf), "Shelf Site"))
+
+
+@query
+def site_blocks(spark, sf):
+    return H.with_longest_block(site_pages(spark, sf), "html").select("page_id", F.coalesce("block", F.lit("")).alias("block"))
+
+
 @query
 def page_links(spark, sf):
     more = F.concat(F.lit('<a href="?page='), (F.col("page_id") % 3).cast("string"), F.lit('">2</a><a href="../up/./x">up</a><a href="./here/../there">t</a>'))

@@ -150,3 +150,12 @@ def test_relative_links(spark):
     }
     df = spark.createDataFrame([(h, base) for h in hrefs], "h string, b string")
     assert [r[0] for r in df.select(U.resolve(F.col("h"), F.col("b"))).collect()] == list(hrefs.values())
+
+
+def test_graphs_of_any_depth(spark):
+    for depth in (1, 12, 40):
+        nested = '{"@graph":[{"@type":"WebPage","name":"no"},' * depth + '{"@type":"Product","name":"deep","image":["a","b"]}' + "]}" * depth
+        found = ld(spark, nested)
+        assert (found.name, found.image) == ("deep", "a")
+    # a broken graph hides nothing beside it, and the word in a text is no graph
+    assert ld(spark, '[{"@graph":"oops"},{"@type":"Product","name":"say \\"@graph\\""}]').name == 'say "@graph"'
