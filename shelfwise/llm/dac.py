@@ -39,6 +39,8 @@ MAGIC = b"DAC1"
 #: A shard is closed at the end of the slice of texts in which it reaches this many tokens.
 SHARD_TOKENS = 4_000_000
 NULL_ID = -(1 << 63)
+#: Tasks per core that read shards, if there are as many.
+READ_TASKS = 4
 
 
 def pack(ids: np.ndarray, docs: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -166,7 +168,7 @@ def write(docs: DataFrame, path: str, encoder: WordEncoder, end_id: int) -> Data
     stored = spark.read.schema(rows.schema).parquet(f"{path}/rows")
     # one row per shard of millions of tokens
     before = F.sum("tokens").over(W.Window.orderBy("part", "number").rowsBetween(W.Window.unboundedPreceding, -1))
-    stored.withColumn("first_start", F.coalesce(before, F.lit(0))).repartition(F.col("file")).write.parquet(f"{path}/manifest")
+    stored.withColumn("first_start", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/manifest")
     return read_manifest(spark, path)
 
 
@@ -189,7 +191,9 @@ def read(manifest: DataFrame) -> DataFrame:
                 "ids_crc32": np.array([zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64),
             }
 
-    many = manifest.select("file", "first_start").repartition(F.col("file"))
+    # by number: adaptive execution would put all rows, a hundred bytes each, into one task
+    tasks = min(manifest.count(), READ_TASKS * manifest.sparkSession.sparkContext.defaultParallelism)
+    many = manifest.select("file", "first_start").repartition(max(1, tasks), "file")
     return arrow_map(many, each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
