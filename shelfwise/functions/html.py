@@ -111,7 +111,7 @@ def jsonld_nodes(html: Column) -> Column:
 
     def of_block(block: Column) -> Column:
         # no graph is deeper than the word occurs
-        depth = F.sequence(F.lit(0), F.regexp_count(block, F.lit('"@graph"')))
+        depth = F.sequence(F.lit(0), F.size(F.split(block, '"@graph"')) - 1)
         start = F.struct(F.array().cast(f"array<{_LEAF}>").alias("nodes"), F.array(block).alias("graphs"))
         return F.aggregate(depth, start, deeper, lambda found: found["nodes"])
 
