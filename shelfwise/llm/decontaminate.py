@@ -135,8 +135,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, key (tells texts of one id apart), n_words, n_hit (words inside an occurrence of a
     window), items (sorted ids of items with an occurring window), contaminated.
 
-    Needs doc_id and text; other columns are ignored. Only fingerprints of texts are
-    shuffled, or none if those of the benchmark are few enough to broadcast.
+    Needs doc_id and text; other columns are ignored. Fingerprints of texts are shuffled,
+    or none if those of the benchmark are few enough to broadcast; whole texts are shuffled once,
+    to those that share a fingerprint.
     """
     docs = docs.select("doc_id", "text").withColumn("key", text_key())
     windows = stage(benchmark_windows(benchmark), "windows")

@@ -1,16 +1,17 @@
-"""N-gram Jaccard join: an LSH forest of MinHash signatures, then exact checks.
+"""N-gram Jaccard join: fixed bands of MinHash signatures, then exact checks.
 
 A text becomes the set of its five-word shingles (a text of one to four words is
 one shingle). Texts with equal sets are one class. Each class has one label in each
-of ``TREES`` prefix trees: ``DEPTH`` minimum hashes in a row. The search begins at the
-full label and shortens the prefix until the expected recall at the threshold reaches
-``TARGET``; below that prefix the labels are sorted, which is the trie's order, and every
-class is linked to its neighbour, so a crowded node costs as many rows as it has classes,
-never their pairs. Before the shuffle each task links the classes of its own batch that
+of ``TREES`` bands: ``DEPTH`` minimum hashes in a row, of which a prefix must be equal. No forest
+is searched: the prefix is the longest whose expected recall at the threshold reaches
+``TARGET``, which is the same for every input, and the rest of the label only orders a band's
+rows. Each class is linked to its neighbour there, so a crowded band costs as many rows as it
+has classes, never their pairs. Before the shuffle each task links the classes of its own batch that
 share a prefix, and sends one of them.
 
-Linked classes form candidate groups. Within a group every pair is checked exactly
-on its shingle sets, block against block, so a group of any size is spread over many
+Linked classes form candidate groups, connected components of these unchecked links. Within
+a group every pair is checked exactly on its shingle sets, so a long chain of unrelated texts
+costs the square of its length. Pairs are checked block against block, so a group of any size is spread over many
 tasks with bounded memory, and each task returns counts and a spanning forest, not pairs.
 
 Null and word-less texts link with nothing. Rows of one id count as one node each by

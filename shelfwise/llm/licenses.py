@@ -61,7 +61,7 @@ def seeds(notice: Notice) -> list[tuple[int, str]]:
 
 
 class Scanner:
-    """The automaton and patterns of some notices; built once per task."""
+    """The automaton and patterns of some notices; built once per Arrow batch."""
 
     def __init__(self, notices: tuple[Notice, ...]):
         import ahocorasick

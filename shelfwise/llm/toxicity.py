@@ -5,8 +5,8 @@ model on hashed words and word beginnings; the document's score is their noisy-o
 1 - prod(1 - p). Only document labels are known: the noisy-or likelihood tells the
 model which sentences must carry a toxic label, so it can also point at them.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows (those with the smallest
-hash of their id, so the choice is the same on every run); every document is scored
+The model is fitted on the rows of at most ``SAMPLE_ROWS`` labelled ids (those with the smallest
+hash, so the choice is the same on every run; an id that repeats brings all its rows); every document is scored
 whole. Null and empty texts have no sentence and get the model's prior for an empty
 bag. Only features that are ``LIFT`` times as frequent in toxic documents are looked at.
 Labels that are null, or of ids without a document, are ignored; of repeated
