@@ -112,3 +112,15 @@ def test_unigram_models_are_rebuilt():
     for text in ("ab ab", "aabab", "  b", "é ab", "", "aaab"):
         assert rebuilt.encode(text, add_special_tokens=False).ids == original.encode(text)
         assert rebuilt.decode(original.encode(text), skip_special_tokens=False) == text
+
+
+def test_shards_are_read_by_several_tasks(spark, make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dac, "SHARD_TOKENS", 1)  # a shard per slice of texts
+    docs = [(k, " ".join(prose(k, 60_000))) for k in range(12)]
+    manifest = dac.write(make(docs), run_dir(spark, "shards"), pieces.WordEncoder(P.path("word_bpe_49k.json")), 1)
+    assert manifest.count() >= 4
+    read = dac.read(manifest)
+    assert read.select(F.spark_partition_id()).distinct().count() > 1  # not put together by adaptive execution
+    assert [r.doc_id for r in read.orderBy("start").collect()] == list(range(12))
