@@ -393,6 +393,13 @@ ORACLES["facet_tree"] = ctes("products", found="SELECT * FROM products") + TREE
 ORACLES["search_counts"] = ctes(
     "products", found="SELECT * FROM products WHERE lower(name || ' ' || raw_name || ' ' || line || ' ' || barcode) LIKE '%ring%'"
 ) + TREE
+ORACLES["search_terms"] = """
+WITH terms AS (
+  SELECT 'item ' || item_id AS term_id, substring(text, 1 + length(text) % 40, 4 + length(text) % 9) AS term FROM benchmark
+  UNION ALL SELECT 'region ' || r_regionkey, substring(r_name, 1, 1 + r_regionkey % 2) || ' ' FROM region
+  UNION ALL SELECT 'nation ' || n_nationkey, n_name FROM nation)
+SELECT DISTINCT term_id, term, doc_id FROM terms JOIN documents ON contains(lower(coalesce(text, '')), trim(lower(term)))
+"""
 ORACLES["reason_counts"] = TEXTS + (
     "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(why, '|')) AS reason FROM verdicts WHERE why <> '') t GROUP BY reason"
 )
@@ -651,3 +658,18 @@ ORACLES["incremental_ingest"] = ctes(parts=URL_PARTS) + """
 SELECT page_id, host, url, nullif(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1), '') AS title, length(html) AS size
 FROM parts QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id % 2, page_id) = 1
 """
+
+# pages are numbers here: n leads to 0, 2 n + 1 and 2 n + 2, and to n + 4 if 4 divides n; a walk
+# of more rounds than there are pages can find nothing new
+ORACLES["page_reach"] = """
+WITH RECURSIVE links AS (
+  SELECT page_id AS source, unnest([0, page_id * 2 + 1, page_id * 2 + 2, CASE WHEN page_id % 4 = 0 THEN page_id + 4 END]) AS target,
+    unnest([1, 1, 1, 2]) AS kind FROM pages),
+edges AS (SELECT DISTINCT source, target FROM links JOIN pages ON page_id = target WHERE target % 11 <> 3 OR kind = 2),
+walk(page_id, section, depth) USING KEY (page_id) AS (
+  SELECT page_id, 'section ' || page_id, 0 FROM pages WHERE page_id = 0 OR page_id % 97 = 5
+  UNION
+  SELECT e.target, min(w.section), min(w.depth) + 1 FROM walk w JOIN edges e ON e.source = w.page_id
+    LEFT JOIN recurring.walk k ON k.page_id = e.target WHERE k.page_id IS NULL GROUP BY e.target)
+SELECT page_id, section, depth FROM pages LEFT JOIN walk USING (page_id)
+"""

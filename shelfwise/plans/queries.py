@@ -18,7 +18,9 @@ from shelfwise.operators import layers as L
 from shelfwise.operators import match as M
 from shelfwise.operators import pages as P
 from shelfwise.operators import quality as Q
+from shelfwise.operators import reach as W
 from shelfwise.operators import rules as R
+from shelfwise.operators import search as G
 from shelfwise.operators import serve as S
 from shelfwise.operators.templates import describe_by_templates
 from shelfwise.plans.fixtures import FILLER, TEMPLATE_COLUMNS, read, table, template_rows, with_variants
@@ -643,6 +645,19 @@ def page_subtitle(spark, sf):
     return pages.select("ordinal", F.coalesce(H.subtitle(F.col("html")), F.lit("")).alias("subtitle"))
 
 
+@query
+def search_terms(spark, sf):
+    documents = read(spark, sf, "documents", heavy=True)
+    index = G.write_index(documents, "doc_id", "text", run_dir(spark, "grams"))
+    items = read(spark, sf, "benchmark").selectExpr(
+        "'item ' || item_id as term_id", "substring(text, 1 + length(text) % 40, 4 + length(text) % 9) as term"
+    )
+    short = read(spark, sf, "region").selectExpr("'region ' || r_regionkey as term_id", "substring(r_name, 1, 1 + r_regionkey % 2) || ' ' as term")
+    none = read(spark, sf, "nation").selectExpr("'nation ' || n_nationkey as term_id", "n_name as term")
+    found = G.search_terms(documents, "doc_id", "text", index, items.union(short).union(none))
+    return found.select("term_id", "term", F.col("id").alias("doc_id"))
+
+
 @query
 def extraction_coverage(spark, sf):
     return P.coverage(P.page_records(product_pages(spark, sf), "Shelf Site"))
@@ -689,6 +704,31 @@ def page_links(spark, sf):
     return P.page_links(pages, "page_id").select("page_id", "host", "link", "is_paged", "verdict")
 
 
+def shop_pages(spark, sf):
+    """The given pages as pages of one shop: each links to the shop's first page, to two
+    pages further on, and has a numbered next page; links to some pages are missing."""
+    k = F.col("page_id")
+
+    def url(n):
+        return F.concat(F.lit("https://shop.example/"), F.when(n % 4 == 0, F.lit("list?page=")).otherwise(F.lit("products/page-number-")), n.cast("string"))
+
+    def link(n, there):
+        return F.when(there, F.concat(F.lit("<a href='"), F.replace(url(n), F.lit("https://shop.example"), F.lit("")), F.lit("'>on</a>"))).otherwise(F.lit(""))
+
+    more = [link(n, n % 11 != 3) for n in (k * 0, k * 2 + 1, k * 2 + 2)]
+    return read(spark, sf, "pages", heavy=True).select("page_id", url(k).alias("url"), F.concat("html", *more, link(k + 4, k % 4 == 0)).alias("html"))
+
+
+def shop_seeds(spark, sf):
+    starts = shop_pages(spark, sf).where("page_id = 0 or page_id % 97 = 5")
+    return starts.select("url", F.concat(F.lit("section "), F.col("page_id").cast("string")).alias("section"))
+
+
+@query
+def page_reach(spark, sf):
+    return W.page_reach(shop_pages(spark, sf), shop_seeds(spark, sf), "page_id").select("page_id", "section", "depth")
+
+
 @query
 def html_text(spark, sf):
     return read(spark, sf, "pages", heavy=True).select("page_id", H.to_text(F.col("html")).alias("text"))
