@@ -1,7 +1,6 @@
 import random
 from collections import Counter
 
-import pyarrow as pa
 from llm_cases import awkward, make, prose, words  # noqa: F401
 from shelfwise.llm import jaccard as J
 
@@ -55,32 +54,72 @@ def test_empty_table(make):
     assert J.jaccard_groups(make([])).count() == 0
 
 
-def test_prefix_is_shortened_to_the_target():
-    depth = J.shortened()
-    assert J.recall(depth) >= J.TARGET > J.recall(depth + 1)
-    assert J.shortened(0.5) > depth
-
-
-def test_links_hold_if_batches_differ_between_runs(spark):
-    """Each run of the plan below gives its rows in another order, so cuts them into other batches."""
-
-    def shuffled(batches):
-        rows = pa.Table.from_batches(list(batches))
-        order = list(range(rows.num_rows))
-        random.SystemRandom().shuffle(order)
-        yield from rows.take(pa.array(order)).to_batches()
-
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        pairs = [(i, [i // 2 * 7 + t for t in range(3)], [0, 0, 0]) for i in range(400)]
-        classes = spark.createDataFrame(pairs, "node long, prefix array<long>, rest array<int>").coalesce(1)
-        kept = spark.range(400).withColumnRenamed("id", "node")
-        classes = classes.join(kept, "node", "left_semi").coalesce(1).mapInArrow(shuffled, classes.schema)
-        found = {(max(r.a, r.b), min(r.a, r.b)) for r in J.forest_links(classes).collect()}
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert found == {(i + 1, i) for i in range(0, 400, 2)}
+def near_copies(pairs, size=60, seed=5):
+    """Pairs of texts of 60 words with similarities from 0.8 on, most of them close to it."""
+    rng, docs = random.Random(seed), []
+    for i in range(pairs):
+        a = prose(1000 + i, size)
+        b = a[: size - rng.randint(1, 11)]  # a tail of k words away: 1 - k / 56
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return docs
+
+
+def test_recall_on_planted_pairs(make):
+    """1,200 pairs, counted against their exact similarity."""
+    docs = near_copies(1200)
+    expected = {a for (a, x), (_, y) in zip(docs[::2], docs[1::2]) if (len(y.split()) - 4) >= 0.8 * 56}
+    got = {r.doc_id for r in J.jaccard_groups(make(docs)).where("n_links = 1 and kept").collect()}
+    assert got <= expected and len(got) >= 0.995 * len(expected) and len(expected) > 1000
+
+
+def test_descent_ends_where_the_measured_recall_is_reached(spark):
+    def drawn(s, n):
+        return spark.createDataFrame([(s,)] * n, "similarity double")
+
+    assert J.recall(J.LEVELS[-1]) >= J.TARGET > J.recall(J.LEVELS[-2])  # the last level holds on any data
+    assert J.measured(drawn(0.99, 1000), J.LEVELS[0]) >= J.TARGET  # near copies only: whole labels do
+    assert J.measured(drawn(0.99, 200), J.LEVELS[0]) < J.TARGET  # too few to tell
+    assert J.measured(drawn(0.82, 2000), J.LEVELS[0]) < J.TARGET
+    assert J.measured(drawn(0.99, 0), J.LEVELS[0]) < J.TARGET
+
+
+def test_close_copies_need_whole_labels_only(make, monkeypatch):
+    depths, plain = [], J.descend
+    monkeypatch.setattr(J, "descend", lambda *a: (lambda out: (depths.append(out[1]), out)[1])(plain(*a)))
+    docs = []
+    for i in range(600):
+        a = prose(3000 + i, 150)
+        docs += [(4 * i + k, " ".join(a[: 150 - k])) for k in range(3)]
+    got = [r.n_links for r in J.jaccard_groups(make(docs)).collect()]
+    assert depths == [J.LEVELS[0]] and got == [2] * 1800
+
+
+def test_chain_of_unlinked_texts_costs_its_meetings(make, monkeypatch):
+    """Each text shares half of its shingles with the next: prefixes chain them, but no group is compared with itself."""
+    long = prose(77, 4000)
+    docs = [(i, " ".join(long[12 * i : 12 * i + 60])) for i in range(300)]
+    sizes, plain = [], J.blocks
+
+    def counted(nodes):
+        rows = nodes.groupBy("tree", "group").count().collect()
+        sizes.append([r["count"] for r in rows])
+        return plain(nodes)
+
+    monkeypatch.setattr(J, "blocks", counted)
+    got = J.jaccard_groups(make(docs)).collect()
+    assert {(r.n_links, r.kept) for r in got} == {(0, True)}
+    alike, meetings = sizes
+    assert not alike and meetings and max(meetings) < 12 and sum(n * n for n in meetings) < 300 * 300 / 4
+
+
+def test_groups_under_one_prefix_are_compared_once(make, monkeypatch):
+    """Two groups that link only by their edges, blocks of three rows: counts must be those of brute force."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 3)
+    base, docs = prose(21, 100), []
+    for k in range(36):  # a text moves away from the first step by step
+        changed = list(base)
+        for p in range(k):
+            changed[(p * 37) % 100] = f"new{p}"
+        docs.append(((k * 17) % 36, " ".join(changed)))
+    got = [(r.doc_id, r.n_links, r.component_id) for r in J.jaccard_groups(make(docs)).collect()]
+    assert Counter(got) == Counter(brute(docs))
