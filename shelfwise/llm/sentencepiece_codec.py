@@ -151,9 +151,12 @@ class Codec:
         self.prefix, self.by_words, self.words = spec["prefix"], by_words(spec), Pieces(self.compared)
 
     def compared(self, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths and ids as the original library gives them; whether the other agrees, and whether they decode to the text."""
-        ids = self.original.encode(own, num_threads=self.threads)
-        agree = [e.ids == x for e, x in zip(self.tokenizer.encode_batch_fast(own, add_special_tokens=False), ids)]
+        """Lengths and ids as the rebuilt tokenizer gives them, or the original library where it differs;
+        whether both agree, and whether the ids decode to the text."""
+        rebuilt = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        original = self.original.encode(own, num_threads=self.threads)
+        agree = [x == y for x, y in zip(rebuilt, original)]
+        ids = [x if same else y for x, y, same in zip(rebuilt, original, agree)]
         back = [a == b for a, b in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), own)]
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
