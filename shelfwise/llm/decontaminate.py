@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_map, maybe_broadcast, stage, text_key
-from .words import WORD_PATTERN, shingles, signed, texts
+from .common import arrow_map, maybe_broadcast, small, stage, text_key
+from .words import shingles, signed, texts
 
 #: Words of a window, of a fingerprint, and fingerprints of a window.
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
+#: Keys of texts with a shared fingerprint are broadcast up to this number.
+KEY_ROWS = 1_000_000
 
 
 def winnow(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +106,20 @@ def fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
     return arrow_map(docs, each, "doc_id long, key long, gram int, at int, hash long")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_words) of whole texts. ``docs``: doc_id, key, text."""
+
+    def each(batch: pa.RecordBatch):
+        for text in texts(batch.column(2)):
+            yield {
+                "doc_id": batch.column(0).slice(text.first, text.rows),
+                "key": batch.column(1).slice(text.first, text.rows),
+                "n_words": np.bincount(text.words()[0], minlength=text.rows),
+            }
+
+    return arrow_map(docs, each, "doc_id long, key long, n_words long")
+
+
 def _around(docs: DataFrame) -> DataFrame:
     """All windows that hold a hit, as words. ``docs``: doc_id, key, text, hits."""
 
@@ -136,8 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window), items (sorted ids of items with an occurring window), contaminated.
 
     Needs doc_id and text; other columns are ignored. Fingerprints of texts are shuffled,
-    or none if those of the benchmark are few enough to broadcast; whole texts are shuffled once,
-    to those that share a fingerprint.
+    or none if those of the benchmark are few enough to broadcast; of whole texts only those that
+    share a fingerprint are shuffled, or all if these are more than ``KEY_ROWS``.
     """
     docs = docs.select("doc_id", "text").withColumn("key", text_key())
     windows = stage(benchmark_windows(benchmark), "windows")
@@ -145,13 +161,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows.select("gram", "hash", (F.col("size") == WINDOW).alias("long")).distinct(), "marks"
     )
     short = sorted(r[0] for r in marks.where("not long").select("gram").distinct().collect())  # below ten
-    hits = (
+    hits = stage(
         fingerprints(docs.select("doc_id", "key", "text"), short)
         .join(maybe_broadcast(marks), ["gram", "hash"])
         .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("gram", "at", "long")).alias("hits"))  # bounded by the length of one text
+        .agg(F.collect_set(F.struct("gram", "at", "long")).alias("hits")),  # bounded by the length of one text
+        "hits",
     )
-    d, h = docs.alias("d"), hits.alias("h")
+    hit_keys = hits.select("key").distinct()
+    if small(hit_keys, KEY_ROWS):
+        hit = docs.join(F.broadcast(hit_keys), "key", "left_semi").select("doc_id", "text", "key")
+    else:
+        hit = docs
+    d, h = hit.alias("d"), hits.alias("h")
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key"))
     near = _around(d.join(h, same).select("d.doc_id", "d.key", "d.text", "h.hits")).distinct()
     found = stage(
@@ -175,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = covered.join(items, (covered.key == items.key) & covered.doc_id.eqNullSafe(items.doc_id)).select(
         covered.doc_id, covered.key, "n_hit", "items"
     )
-    rows = docs.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("n_words"))
+    rows = word_counts(docs.select("doc_id", "key", "text"))
     r, b = rows.alias("r"), both.alias("b")
     return r.join(b, (F.col("r.key") == F.col("b.key")) & F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
         "r.doc_id",

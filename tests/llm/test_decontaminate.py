@@ -73,3 +73,22 @@ def test_query_digest(spark, tmp_path):
     one, two = D.op7_decontamination(spark, str(tmp_path)).orderBy(F.col("doc_id")).collect()
     assert tuple(one)[1:5] == (12, 12, 2, hashlib.sha256(b"10,9").hexdigest())
     assert tuple(two) == (2, 0, 0, 0, hashlib.sha256(b"").hexdigest(), False)
+
+
+def test_texts_are_counted_in_one_pass_and_only_those_with_hits_are_shuffled(make, spark):
+    b = prose(2, 40)
+    docs = make([(1, " ".join(b)), (2, "İ Σ no hit\x00here 日本"), (2, None), (None, "a-b"), *((9 + k, " ".join(prose(9 + k, 30))) for k in range(20))])
+    items = spark.createDataFrame([(7, " ".join(b[3:20]))], "item_id long, text string")
+    found = D.contamination(docs, items)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = Counter((r.doc_id, r.n_words, r.n_hit) for r in found.collect())
+    assert {(1, 40, 17), (2, 6, 0), (2, 0, 0), (None, 2, 0)} <= set(got) and sum(got.values()) == 24
+
+
+def test_more_hits_than_are_broadcast(make, spark, monkeypatch):
+    b = prose(2, 40)
+    docs = make([(k, " ".join(prose(k, 5) + b)) for k in range(4)])
+    items = spark.createDataFrame([(7, " ".join(b))], "item_id long, text string")
+    few = sorted(map(tuple, D.contamination(docs, items).collect()))
+    monkeypatch.setattr(D, "KEY_ROWS", 1)
+    assert few == sorted(map(tuple, D.contamination(docs, items).collect())) and len(few) == 4
