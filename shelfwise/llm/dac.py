@@ -45,14 +45,14 @@ READ_TASKS = 4
 
 def pack(ids: np.ndarray, docs: np.ndarray, offsets: np.ndarray) -> bytes:
     """A shard: ids of all tokens, doc_id of each document, its token offsets (one more)."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while len(rest) or not levels:
-        more = rest >> np.uint64(CHUNK) > 0
+        more = rest >> np.uint32(CHUNK) > 0
         bits = np.packbits(more, bitorder="little")
-        ones = np.add.reduceat(more.astype(np.uint64), np.arange(0, len(more), BLOCK)) if len(more) else np.zeros(0, np.uint64)
+        ones = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.uint64) if len(more) else np.zeros(0, np.uint64)
         rank = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ones, dtype=np.uint64)))
-        levels.append(struct.pack("<Q", len(rest)) + (rest & np.uint64((1 << CHUNK) - 1)).astype(np.uint8).tobytes() + bits.tobytes() + rank.tobytes())
-        rest = rest[more] >> np.uint64(CHUNK)
+        levels.append(struct.pack("<Q", len(rest)) + (rest & np.uint32((1 << CHUNK) - 1)).astype(np.uint8).tobytes() + bits.tobytes() + rank.tobytes())
+        rest = rest[more] >> np.uint32(CHUNK)
         if not len(rest):
             break
     head = MAGIC + struct.pack("<IIIQ", CHUNK, len(levels), len(docs), len(ids))
@@ -94,12 +94,13 @@ class Shard:
 
     def all(self) -> np.ndarray:
         """Ids of all tokens."""
-        value = np.zeros(self.tokens, np.uint64)
-        where = np.arange(self.tokens)
+        value = np.zeros(self.tokens, np.uint32)
+        where: slice | np.ndarray = slice(None)
         for level, (chunks, bits, _) in enumerate(self.levels):
-            value[where] |= chunks.astype(np.uint64) << np.uint64(level * self.chunk)
-            where = where[np.unpackbits(bits, bitorder="little")[: len(chunks)].astype(bool)]
-        return value.astype(np.uint32)
+            value[where] |= chunks.astype(np.uint32) << np.uint32(level * self.chunk)
+            more = np.flatnonzero(np.unpackbits(bits, bitorder="little")[: len(chunks)])
+            where = more if level == 0 else where[more]
+        return value
 
 
 def _store(path: str):

@@ -124,3 +124,23 @@ def test_shards_are_read_by_several_tasks(spark, make, monkeypatch):
     read = dac.read(manifest)
     assert read.select(F.spark_partition_id()).distinct().count() > 1  # not put together by adaptive execution
     assert [r.doc_id for r in read.orderBy("start").collect()] == list(range(12))
+
+
+def test_known_pieces_take_few_bytes(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(pieces, "KEEP", 250_000)
+    rng = np.random.default_rng(1)
+    known = pieces.Pieces(lambda new: (np.ones(len(new), np.int64), np.array(new, np.uint32), np.zeros((len(new), 0), bool)))
+    hashes = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    tracemalloc.start()
+    for k in range(0, len(hashes), 20_000):
+        some = np.concatenate((hashes[k : k + 20_000], hashes[: k // 2]))
+        names = np.concatenate((np.arange(k, k + 20_000), np.arange(k // 2)))
+        assert (known.joined(known.find(some, lambda i: names[i]))[1] == names).all()
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 50 * len(hashes)
+    for k in range(3):  # what is kept stays bounded
+        found = known.find(rng.integers(0, 1 << 63, 200_000).astype(np.uint64), lambda i: i)
+        assert (known.joined(found)[1] == np.arange(200_000)).all() and len(known.known) <= pieces.KEEP + 200_000
