@@ -69,3 +69,35 @@ def test_empty_tables(spark, rows):
     assert G.search_terms(rows.limit(0), "key", "words", index, terms).count() == 0
     index = G.write_index(rows, "key", "words", run_dir(spark, "grams"))
     assert G.search_terms(rows, "key", "words", index, terms.limit(0)).count() == 0
+
+
+def test_postings_are_bits_of_blocks_not_rows(spark):
+    """A gram that all rows hold takes one posting per block; full homes go on in a second block; each row is found."""
+    rows = spark.range(3_000).selectExpr("id", "if(id % 7 = 0, 'same words', 'same') AS words").union(spark.sql("SELECT 5L, 'same other'"))
+    index = G.write_index(rows, "id", "words", run_dir(spark, "grams"))
+    lists = index.postings.groupBy("gram").count().collect()
+    assert {r.gram: r["count"] for r in lists}["ame"] <= 3_000 / 16
+    n = {r.gram: r.n for r in index.counts.collect()}
+    assert (n["sam"], n["wor"], n["oth"]) == (3_001, 429, 1)
+    assert index.members.select("block", "place").distinct().count() == 3_001 and index.members.agg(F.max("place")).first()[0] < G.PLACES
+    terms = spark.createDataFrame([("same",), ("me w",), ("other",), ("me",), ("zz",)], "term string")
+    got = {}
+    for r in G.search_terms(rows, "id", "words", index, terms).collect():
+        got.setdefault(r.term, []).append(r.id)
+    assert {t: sorted(x) for t, x in got.items()} == {"same": [*range(3_000)], "me w": [*range(0, 3_000, 7)], "other": [5], "me": [*range(3_000)]}
+
+
+def test_pieces_hold_each_gram(spark):
+    texts = {n: "".join(chr(0x1F600 + k) if k % 5 == 0 else chr(0x3B1 + k % 24) if k % 3 else f"\n{n % 10}"[k % 2] for k in range(n)) for n in (*range(5), *range(31, 37), *range(62, 70), 200)}
+    index = G.write_index(spark.createDataFrame([*texts.items()], "id long, words string"), "id", "words", run_dir(spark, "grams"))
+    held = {n: set() for n in texts}
+    for r in index.postings.join(index.members, "block").where("getbit(bits, place) = 1").collect():
+        held[r.id].add(r.gram)
+    assert held == {n: {t[k : k + 3] for k in range(n - 2)} for n, t in texts.items()}
+
+
+def test_many_short_terms_and_few_give_the_same(spark, rows, monkeypatch):
+    index = G.write_index(rows, "key", "words", run_dir(spark, "grams"))
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    monkeypatch.setattr(G, "COMPARED", 0)
+    assert {(r.term, r.id) for r in G.search_terms(rows, "key", "words", index, terms).collect()} == brute(TEXTS, TERMS)
