@@ -153,11 +153,13 @@ def search_terms(rows: DataFrame, key: str, text: str, index: GramIndex, terms:
     met = stage(candidates(index, wanted), "candidates")
     long = texts.join(_broadcast_if_small(met), "id").where(F.contains("_text", "needle")).select("needle", "id")
     few = needles.where(F.length("needle") < GRAM)
-    if is_small(few, COMPARED):
-        short = texts.join(F.broadcast(few), F.contains("_text", "needle")).select("needle", "id")
+    listed = [r.needle for r in few.limit(COMPARED + 1).collect()]
+    if len(listed) <= COMPARED:
+        asks = F.array(*[F.lit(x) for x in listed]).cast("array<string>")
+        short = texts.select("id", F.explode(F.filter(asks, lambda x: F.contains(F.col("_text"), x))).alias("needle")).select("needle", "id")
     else:
         held = F.concat(F.array(F.lit("")), *[grams(F.col("_text"), n) for n in range(1, GRAM)])
         held = texts.select("id", F.explode(held).alias("needle"))
         short = held.join(_broadcast_if_small(few), "needle").select("needle", "id")
-    found = long.union(short).distinct() if few.limit(1).count() else long.distinct()
+    found = long.union(short).distinct() if listed else long.distinct()
     return asked.join(found, "needle").drop("needle")
